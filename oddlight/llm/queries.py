@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _crc(id_col: str):
+    """crc32 of an id as text; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -43,12 +48,36 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit_profiles, identify
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _crc("doc_id") % 3 == 1)
+    profiles = fit_profiles(docs.where("not held_out"))
+    return identify(docs, profiles, ["doc_id", "held_out"])
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
     return shard_documents(_table(spark, sf_dir, "documents"), 8)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import work_path
+    from .warc import assemble, page_of_column, read_warc, write_warc
+
+    path = work_path(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    captures = assemble(read_warc(spark, path, with_block=False))
+    return captures.select(
+        F.expr("try_cast(nullif(regexp_extract(cast(metadata.block as string), 'page_id: (-?[0-9]*)', 1), '') as long)").alias("page_id"),
+        F.coalesce("capture.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),
+        F.col("capture.payload_digest").alias("payload_digest"),
+        F.col("capture.type").alias("record_type"),
+        page_of_column(F.col("capture.refers_to")).alias("refers_to"),
+    )
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import work_path
     from .token_orc import token_summary, write_tokens
@@ -58,7 +87,7 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_summary(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op4_exact_dedup, op5_decontamination, op7_sharding, op10_token_orc)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op4_exact_dedup, op5_decontamination, op6_language_id, op7_sharding, op8_warc, op10_token_orc)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
