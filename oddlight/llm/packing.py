@@ -26,26 +26,22 @@ def binary_pieces(tokens: int, longest: int) -> list[int]:
 
 def _pieces(path: str, end: int, longest: int):
     def run(batches):
-        from .tokens import encoder
+        from .tokens import encoder, with_end
 
         encode, task, seen = encoder(path).encode, TaskContext.get().partitionId(), {}
-        tail = np.array([end], "<u4").tobytes()
         for b in batches:
-            ids_of = encode(b.column(1).to_pylist())
-            src, start, length, ids, total, local = [], [], [], [], [], []
-            for i, raw in enumerate(ids_of):
-                raw += tail
-                at, n = 0, len(raw) // 4
+            ids, offsets = with_end(*encode(b.column(1)), end)
+            src, length, local = [], [], []
+            for i, n in enumerate(np.diff(offsets).tolist()):
                 for size in binary_pieces(n, longest):
                     src.append(i)
-                    start.append(at)
                     length.append(size)
-                    ids.append(raw[4 * at : 4 * (at + size)])
-                    total.append(n)
                     local.append(seen.get(size, 0))
                     seen[size] = local[-1] + 1
-                    at += size
-            yield pa.record_batch([b.column(0).take(pa.array(src, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64()), pa.array(np.full(len(src), task)), pa.array(local, pa.int64())], ["doc_id", "start", "length", "ids", "doc_tokens", "task", "local"])
+            cuts = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])  # pieces follow each other without gaps
+            raw = pa.Array.from_buffers(pa.large_binary(), len(src), [None, pa.py_buffer(4 * cuts), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+            at = np.array(src, np.int64)
+            yield pa.record_batch([b.column(0).take(pa.array(at)), pa.array(cuts[:-1] - offsets[at]), pa.array(length, pa.int64()), raw, pa.array(np.diff(offsets)[at]), pa.array(np.full(len(src), task)), pa.array(local, pa.int64())], ["doc_id", "start", "length", "ids", "doc_tokens", "task", "local"])
 
     return run
 

@@ -20,16 +20,13 @@ from .shared import prefix_offsets, shuffle_parts, stage_table, tune
 
 def _encode(path: str, end: int):
     def run(batches):
-        from .tokens import encoder
+        from .tokens import encoder, with_end
 
         encode, part, pos = encoder(path).encode, TaskContext.get().partitionId(), 0
-        tail = np.array([end], "<u4").tobytes()
         for b in batches:
-            raw = [r + tail for r in encode(b.column(1).to_pylist())]
-            ids = np.frombuffer(b"".join(raw), "<i4")
-            offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
+            ids, offsets = with_end(*encode(b.column(1)), end)
             n = b.num_rows
-            yield pa.record_batch([b.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "part", "pos", "ids"])
+            yield pa.record_batch([b.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view("<i4")))], ["doc_id", "part", "pos", "ids"])
             pos += n
 
     return run
