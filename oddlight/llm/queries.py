@@ -78,6 +78,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _crc("doc_id") % 5 == 0)
+    model = fit(docs, _table(spark, sf_dir, "labels").where(_crc("doc_id") % 5 != 0))
+    return score(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import work_path
     from .token_orc import token_summary, write_tokens
@@ -87,7 +95,7 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_summary(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op4_exact_dedup, op5_decontamination, op6_language_id, op7_sharding, op8_warc, op10_token_orc)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op4_exact_dedup, op5_decontamination, op6_language_id, op7_sharding, op8_warc, op9_toxicity, op10_token_orc)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
