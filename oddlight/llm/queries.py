@@ -34,6 +34,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _crc("doc_id") % 7 == 2)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -95,7 +101,7 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_summary(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op4_exact_dedup, op5_decontamination, op6_language_id, op7_sharding, op8_warc, op9_toxicity, op10_token_orc)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_lm_scoring, op4_exact_dedup, op5_decontamination, op6_language_id, op7_sharding, op8_warc, op9_toxicity, op10_token_orc)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
