@@ -1,11 +1,73 @@
-"""Corpus pipeline: language ID, exact dedup, near dedup, decontamination, packing."""
+"""Corpus pipeline: language ID, exact dedup, near dedup, benchmark decontamination, packing.
 
-STAGES: list = []
+Every stage works on all rows that its predecessor kept, and every stage but the last returns the columns it was given.
+Rows are told apart by a key of their own, so null or repeated doc_ids do no harm.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oddlight.llm.decontamination import decontaminate
+from oddlight.llm.exact_dedup import exact_dedup
+from oddlight.llm.language_id import fit_profiles, identify
+from oddlight.llm.near_dedup import near_duplicates
+from oddlight.llm.packing import pack
+from oddlight.llm.shared import row_keys, stage_table
+
+_ROW = "_pipeline_row"
+
+
+def _kept(docs: DataFrame, columns: list[str], rows: DataFrame) -> DataFrame:
+    return docs.join(rows.select(F.col("row").alias(_ROW)), _ROW, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; null texts and texts without a letter go. A null lang takes the prediction."""
+    out = identify(docs, fit_profiles(docs), docs.columns).where("lang_pred <> 'und'")
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts equal but for white space."""
+    keyed = stage_table(row_keys(docs, _ROW), "keyed")
+    return _kept(keyed, docs.columns, exact_dedup(keyed, row_col=_ROW).where("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component (five-word shingles, similarity 0.8 or more)."""
+    keyed = stage_table(row_keys(docs, _ROW), "keyed")
+    return _kept(keyed, docs.columns, near_duplicates(keyed, row_col=_ROW).where("first_row"))
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; a document that consists of them for the most part goes."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Power-of-two pieces with their token ids."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("decontamination", benchmark_free),
+    ("packing", packed),
+]
+
+#: The stages learn language profiles, follow components and tokenise; SQL can't express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

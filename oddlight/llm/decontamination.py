@@ -243,9 +243,10 @@ def _clean(shared, at: int, min_span: int, max_coverage: float):
                 if spans and sum(z - a for a, z in spans) > max_coverage * len(words):
                     continue
                 keep.append(i)
-                if spans := [s for s in spans if s[1] - s[0] >= min_span]:
-                    texts[i] = _without(t, spans)
+                while spans := [s for s in spans if s[1] - s[0] >= min_span]:  # a cut may join the ends of another passage
+                    texts[i] = _without(texts[i], spans)
                     cut[i] = True
+                    spans, _ = automaton.scan(alnum_words(texts[i]))
             cols = [pa.array(texts, b.schema.field(at).type) if j == at else c for j, c in enumerate(b.columns)]
             cols[-1] = pa.array(cut, pa.bool_())
             yield pa.RecordBatch.from_arrays(cols, b.schema.names).take(pa.array(keep, pa.int64()))

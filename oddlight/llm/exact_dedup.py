@@ -32,16 +32,20 @@ _WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 def _digests(batches):
     for b in batches:
-        text = b.column(1).fill_null("")
+        text = b.column(b.num_columns - 1).fill_null("")
         sha = [hashlib.sha256(t.translate(None, _WHITE)).digest() for t in text.cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([b.column(0), pc.cast(pc.utf8_length(text), pa.int64()), pa.array(sha, pa.binary())], ["id", "chars", "digest"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pc.cast(pc.utf8_length(text), pa.int64()), pa.array(sha, pa.binary())], [*b.schema.names[:-1], "chars", "digest"])
 
 
-def digest_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Staged (row, id, chars, digest); row is unique and stable."""
+def digest_table(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """Staged (row, id, chars, digest); row is row_col, a unique long, or else made here."""
     tune(docs.sparkSession)
-    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return stage_table(cols.mapInArrow(_digests, "id long, chars long, digest binary").withColumn("row", F.monotonically_increasing_id()), "digests")
+    cols = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")]
+    if row_col:
+        rows = docs.select(F.col(row_col).alias("row"), *cols).mapInArrow(_digests, "row long, id long, chars long, digest binary")
+    else:
+        rows = docs.select(*cols).mapInArrow(_digests, "id long, chars long, digest binary").withColumn("row", F.monotonically_increasing_id())
+    return stage_table(rows, "digests")
 
 
 def _winners(digests: DataFrame) -> DataFrame:
@@ -145,17 +149,16 @@ def lookup(digests: DataFrame, index: DataFrame, parts: int) -> DataFrame:
     return rows.drop("copies").groupBy("p", "salt").cogroup(copies.groupBy("p", "salt")).applyInArrow(_lookup, _FOUND)
 
 
-def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", digests: DataFrame | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per document: row, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they agree after every white-space byte 0x20, 0x09-0x0D is deleted; null counts as empty. Of
     equal texts the one with the most code points in the original, then the smallest doc_id, then the first row stays
     (null ids rank last). Without ``history`` the documents are their own history. With it, a document whose text the
     history holds is a repeat of the history's winner (kept false; group_size counts history rows), and the remaining
-    documents are grouped among themselves. Empty tables give empty results; other columns are ignored.
+    documents are grouped among themselves. row is row_col, or a number given here. Empty tables give empty results; other columns are ignored.
     """
-    if digests is None:
-        digests = digest_table(docs, id_col, text_col)
+    digests = digest_table(docs, id_col, text_col, row_col)
     own = history is None
     index, parts = build_index(digests if own else digest_table(history, id_col, text_col))
     found = stage_table(lookup(digests, index, parts), "found")

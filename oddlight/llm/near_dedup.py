@@ -103,7 +103,7 @@ def sketch_similarity(differing: np.ndarray) -> np.ndarray:
 def _signatures(k: int):
     def run(batches):
         for b in batches:
-            sets = shingle_sets(b.column(1), k)
+            sets = shingle_sets(b.column(b.num_columns - 1), k)
             digest, bands, sketch = [], [], []
             for s in sets:
                 if len(s):
@@ -117,7 +117,7 @@ def _signatures(k: int):
                     sketch.append(None)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
             values = np.concatenate(bands) if bands else np.zeros(0, np.int64)
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(sketch, pa.binary())], ["id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(sketch, pa.binary())], [*b.schema.names[:-1], "n_shingles", "digest", "bands", "sketch"])
 
     return run
 
@@ -253,19 +253,20 @@ def _cells(members: DataFrame, whole: bool) -> DataFrame:
     return small.unionByName(outside).unionByName(other).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per document: row, doc_id, n_shingles, component_id, kept, first_row.
 
     Words are runs of non-white-space after lower-casing A-Z; a text's set holds its distinct shingles of ``shingle``
     words, or its whole word sequence if that is shorter. Documents with 100 * intersection >= percent * union are
     linked; component_id is the smallest doc_id reachable. A text without words, or null, is linked with nothing: its
-    component is its own doc_id. kept is doc_id = component_id; first_row marks one row of each component even where
+    component is its own doc_id. row is row_col, a unique long, or else a number given here. kept is doc_id = component_id; first_row marks one row of each component even where
     doc_ids repeat (null ids rank last). Empty tables give no rows; other columns are ignored.
     """
     tune(docs.sparkSession)
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = text.mapInArrow(_signatures(shingle), "id long, n_shingles long, digest binary, bands array<long>, sketch binary")
-    signed = stage_table(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    cols = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")]
+    text = docs.select(*([F.col(row_col).alias("row")] if row_col else []), *cols)
+    signed = text.mapInArrow(_signatures(shingle), ("row long, " if row_col else "") + "id long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    signed = stage_table(signed if row_col else signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node"))
     classes = stage_table(classes, "classes")
     rep = signed.select("row", "bands", "sketch").join(classes.select(F.col("node").alias("row"), "digest"), "row")
