@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import stage_table, tune
 
+#: Compressed bytes fed to the decompressor at a time, and rows that may be broadcast (about 20 MB).
+WINDOW, BROADCAST_ROWS = 8192, 200_000
 _KINDS = ("response", "revisit", "request", "metadata")
 _GAP = gzip.compress(b"", 9, mtime=0)  # an empty member
 _DATE = "2024-01-01T00:00:00Z"
@@ -107,9 +109,11 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_
     rows = stage_table(cols.mapInArrow(_digests, "page long, url string, html string, digest string").withColumn("row", F.monotonically_increasing_id()), "digested")
     size = F.coalesce(F.octet_length("html"), F.lit(0))
     first = rows.where(size >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("page").isNull().alias("none"), "page", "row", "url")).alias("f")).where("n > 1")
-    # only rows with a repeated payload meet the first rows; the rest of the pages never move
+    # only rows with a repeated payload meet the first rows; the rest of the pages never move unless these rows are many
     repeated = rows.select("digest", "row").join(first.drop("n"), "digest").select("row", F.col("f.page").alias("first"), F.col("f.row").alias("first_row"), F.col("f.url").alias("first_url"))
-    joined = rows.join(repeated, "row", "left").select("page", "url", "html", "digest", "row", "first", F.coalesce("first_row", "row").alias("first_row"), "first_url")
+    repeated = stage_table(repeated, "repeated")
+    few = repeated.count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(repeated) if few else repeated, "row", "left").select("page", "url", "html", "digest", "row", "first", F.coalesce("first_row", "row").alias("first_row"), "first_url")
     alone = F.when(size < least, F.col("row")).otherwise(F.col("first_row"))
     members = joined.withColumn("first_row", alone).mapInArrow(_records, "members binary")
     members.select(F.col("members").cast("string").alias("value")).write.option("lineSep", _GAP.decode("iso-8859-1")).option("encoding", "ISO-8859-1").text(path)
@@ -117,12 +121,14 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_
 
 def parse_members(raw: bytes):
     """(fields, block) of every record in a file of gzip members, one in memory at a time."""
-    view = memoryview(raw)
-    while len(view):
-        member = zlib.decompressobj(31)
-        data = member.decompress(view)
-        view = view[len(view) - len(member.unused_data) :]
-        if data:
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof and at < len(view):  # a window at a time: what follows a member is not copied again and again
+            window = view[at : at + WINDOW]
+            parts.append(member.decompress(window))
+            at += len(window) - len(member.unused_data)
+        if data := b"".join(parts):
             head, _, rest = data.partition(b"\r\n\r\n")
             lines = head.decode().split("\r\n")
             fields = dict(x.split(": ", 1) for x in lines[1:])
