@@ -41,18 +41,50 @@ def candidates(detections: DataFrame, confidence: float = 0.25) -> DataFrame:
 def suppress(boxes: DataFrame, threshold: float = 0.45) -> DataFrame:
     """Kept candidates: greedy by (score descending, anchor), a box goes if a kept one of its class overlaps it more.
 
-    The group of one image and class is what a detector emits for one picture, so it is bounded by its anchors.
+    One shuffle by image brings a picture's boxes together, sorted; the kernel walks the groups as they stream by. A group
+    is what a detector emits for one picture and class, so it is bounded by its anchors.
     """
     if not 0 <= threshold <= 1:
         raise InvalidArgument("the overlap threshold must be in [0, 1]")
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        order = np.lexsort((np.asarray(t["anchor"]), -np.asarray(t["score"])))
-        corners = np.stack([np.asarray(t[c]) for c in ("x1", "y1", "x2", "y2")], axis=1)[order]
-        return t.take(pa.array(order[planes.suppress(corners, threshold)]))
-
     cols = ["image_id", "anchor", "class_id", "score", "x1", "y1", "x2", "y2"]
-    return boxes.select(*cols).groupBy("image_id", "class_id").applyInArrow(run, CANDIDATE)
+    near = boxes.select(*cols).repartition("image_id").sortWithinPartitions("image_id", "class_id", F.desc("score"), "anchor")
+
+    def run(batches):
+        held = None  # rows of the last group so far: it may go on in the next batch
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if t.num_rows:
+                cut = _last_group(t)
+                yield from _kept(t.slice(0, cut), threshold).to_batches()
+                held = t.slice(cut)
+        if held is not None:
+            yield from _kept(held, threshold).to_batches()
+
+    return near.mapInArrow(run, CANDIDATE)
+
+
+def _groups(t: pa.Table) -> np.ndarray:
+    image, kind = np.asarray(t["image_id"]), np.asarray(t["class_id"])
+    return np.flatnonzero(np.concatenate([[True], (image[1:] != image[:-1]) | (kind[1:] != kind[:-1])]))
+
+
+def _last_group(t: pa.Table) -> int:
+    return int(_groups(t)[-1])
+
+
+def _kept(t: pa.Table, threshold: float) -> pa.Table:
+    """Greedy suppression in every group of consecutive rows."""
+    if not t.num_rows:
+        return t
+    starts = _groups(t)
+    ends = np.append(starts[1:], t.num_rows)
+    corners = np.stack([np.asarray(t[c]) for c in ("x1", "y1", "x2", "y2")], axis=1)
+    keep = np.ones(t.num_rows, bool)
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        if b - a > 1:
+            keep[a:b] = planes.suppress(corners[a:b], threshold)
+    return t.filter(pa.array(keep))
 
 
 def paint(kept: DataFrame, images: DataFrame, h: int, w: int) -> DataFrame:
