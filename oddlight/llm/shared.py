@@ -6,9 +6,12 @@ folder that driver and executors share; a lost executor then costs a re-read, ne
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,22 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def lean(kernel):
+    """A mapInArrow kernel that hands freed memory back to the system at the end of a task.
+
+    Workers are reused, so what one stage's kernel has left in the allocator would count against the next one's room.
+    """
+
+    def run(batches):
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return run
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the cluster shares; one of our own only where the cluster names none (as in tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,9 +55,24 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/oddlight/{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+_listeners: list[list[str]] = []
+
+
+@contextmanager
+def staged_paths():
+    """Collects the paths of the tables that are staged meanwhile."""
+    _listeners.append(paths := [])
+    try:
+        yield paths
+    finally:
+        del _listeners[next(i for i, p in enumerate(_listeners) if p is paths)]
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared folder and return the table read back: lineage ends here."""
-    path = path or work_path(df.sparkSession, name)
+    path = work_path(df.sparkSession, name)
+    for paths in _listeners:
+        paths.append(path)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.staged_at = path  # for drop_table; a plain attribute, never shipped

@@ -16,19 +16,21 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from hashlib import blake2b
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_table, stage_table, tune
+from .shared import drop_table, lean, stage_table, tune
 from .textbytes import alnum_words
 
 #: Labelled rows of each label that examples are drawn from, vocabulary terms, and neighbours that vote.
 MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS = 8192, 65_536, 25
-#: A term counts as a mark if its log odds are this many standard errors above zero, in this many examples.
-MIN_Z, MIN_DF = 3.0, 3
+#: A term counts as a mark if its log odds are so many standard errors above zero, so large, and in so many examples.
+MIN_Z, MIN_LIFT, MIN_DF = 3.0, 1.0, 3
 BLOCK = 64
 
 
@@ -44,6 +46,16 @@ def terms_of(text: str | None) -> Counter:
     return out
 
 
+def _signatures(batches):
+    """(id, label, signature): the two least hashes of a text's longer words, which near copies mostly share."""
+    for b in batches:
+        sig = []
+        for t in b.column(2).to_pylist():
+            words = {w for w in alnum_words(t) if len(w) >= 6} or {t.encode() if t else b""}
+            sig.append(b"".join(nsmallest(2, (blake2b(w, digest_size=8).digest() for w in words))))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary())], ["id", "label", "sig"])
+
+
 def _example_terms(batches):
     for b in batches:
         node, label, term, tf = [], [], [], []
@@ -85,7 +97,7 @@ class BlockMaxIndex:
         order = np.argsort(-bound, kind="stable")
         order = order[: np.count_nonzero(bound)]
         found, cosine = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
+        at, step = 0, 16
         while at < len(order):
             now = order[at : at + step]
             if len(found) >= k:
@@ -129,21 +141,22 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class NeighbourModel:
     """Vocabulary, index and calibration; plain arrays, so that it can be broadcast."""
 
-    def __init__(self, terms: list[bytes], df: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], n: int, weight: tuple[float, float], k: int) -> None:
+    def __init__(self, terms: list[bytes], df: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight: tuple[float, float], k: int) -> None:
+        """examples: (id, label, term numbers, term counts), the last two empty where no term of the vocabulary occurs."""
         self.place = {t: i for i, t in enumerate(terms)}
-        self.idf = np.log((1 + n) / (1 + df)) + 1
+        self.idf = np.log((1 + len(examples)) / (1 + df)) + 1
         self.k = k
-        filled = [(i, y, self.vector(tf)) for i, y, tf in examples if tf]
+        filled = [(i, y, self.vector(t, n)) for i, y, t, n in examples if len(t)]
         # neighbours share their heaviest term, so that block maxima are tight
         filled.sort(key=lambda e: (int(e[2][0][np.argmax(e[2][1])]), e[0]))
         self.ids = np.array([i for i, _, _ in filled], np.int64)
         self.labels = np.array([y for _, y, _ in filled], np.int64)
         self.weight = np.array(weight)
         self.index = BlockMaxIndex([v for _, _, v in filled], len(terms))
-        empty = np.array([y for _, y, tf in examples if not tf], np.int64)
+        empty = np.array([y for _, y, t, _ in examples if not len(t)], np.int64)
         mass = self.weight[empty].sum()
         self.blank = float((self.weight[empty] * empty).sum() + 0.5) / float(mass + 1)
-        every = np.array([y for _, y, _ in examples], np.int64)
+        every = np.array([y for _, y, _, _ in examples], np.int64)
         self.prior = float((self.weight[every] * every).sum() / max(self.weight[every].sum(), 1e-9)) if len(every) else 0.0
         raw = np.array([self.vote(*self._without(j, *self.index.search(*v, k + 1))) for j, (_, _, v) in enumerate(filled)])
         self.x, self.y = isotonic(raw, self.labels.astype(float), self.weight[self.labels]) if filled else (np.zeros(1), np.full(1, self.prior))
@@ -153,9 +166,10 @@ class NeighbourModel:
         other = found != j
         return found[other], cosine[other]
 
-    def vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(tf), np.int64)
-        w = (1 + np.log([tf[t] for t in terms.tolist()])) * self.idf[terms]
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(terms)
+        terms = terms[order].astype(np.int64)
+        w = (1 + np.log(counts[order])) * self.idf[terms]
         return terms, w / math.sqrt(float((w * w).sum()))
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
@@ -164,18 +178,22 @@ class NeighbourModel:
         return float(((w * self.labels[found[: self.k]]).sum() + self.prior) / (w.sum() + 1))
 
     def counts(self, text: str | None) -> dict[int, int]:
-        place, out = self.place, {}
-        for w in alnum_words(text):
-            for t in (w, b"\x04" + w[:4], b"\x05" + w[:5]) if len(w) >= 5 else (w, b"\x04" + w) if len(w) == 4 else (w,):
-                if (i := place.get(t)) is not None:
-                    out[i] = out.get(i, 0) + 1
+        get, out = self.place.get, {}
+        for w, n in Counter(alnum_words(text)).items():
+            if (i := get(w)) is not None:
+                out[i] = out.get(i, 0) + n
+            if len(w) >= 4:
+                if (i := get(b"\x04" + w[:4])) is not None:
+                    out[i] = out.get(i, 0) + n
+                if len(w) >= 5 and (i := get(b"\x05" + w[:5])) is not None:
+                    out[i] = out.get(i, 0) + n
         return out
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
         tf = self.counts(text)
         if not tf or not len(self.ids):
             return (self.blank if len(self.ids) else self.prior), []
-        found, cosine = self.index.search(*self.vector(tf), self.k)
+        found, cosine = self.index.search(*self.vector(np.array(list(tf)), np.array(list(tf.values()))), self.k)
         value = float(np.interp(self.vote(found, cosine), self.x, self.y))
         return value, [{"doc_id": int(self.ids[i]), "cosine": float(c), "toxic": int(self.labels[i])} for i, c in zip(found[:5], cosine[:5], strict=True)]
 
@@ -192,8 +210,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = [clean.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(max_examples) for y in (0, 1)]
     sample = stage_table(chosen[0].unionByName(chosen[1]), "examples")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(sample), "id").select("id", "label", "text")  # at most 2 * max_examples rows are broadcast
-    long = stage_table(texts.mapInArrow(_example_terms, "id long, label int, term binary, tf long"), "example-terms")
+    signed = texts.join(F.broadcast(sample), "id").select("id", "label", "text")  # at most 2 * max_examples rows are broadcast
+    # of near copies with one label a single example counts, or one much-copied text would set the vocabulary
+    single = signed.mapInArrow(lean(_signatures), "id long, label int, sig binary").groupBy("label", "sig").agg(F.min("id").alias("id"))
+    sample = stage_table(single.select("id", "label"), "single-examples")
+    texts = texts.join(F.broadcast(sample), "id").select("id", "label", "text")
+    long = stage_table(texts.mapInArrow(lean(_example_terms), "id long, label int, term binary, tf long"), "example-terms")
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = max(n.get(0, 0), 1), max(n.get(1, 0), 1)
     one = F.sum(F.col("label")).alias("df1")
@@ -201,16 +223,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     a, b = F.col("df1") + 0.5, F.col("df") - F.col("df1") + 0.5
     odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
     error = F.sqrt(1 / a + 1 / b + 1 / (n1 + 1 - a) + 1 / (n0 + 1 - b))
-    marks = terms.withColumn("z", odds / error).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    marks = marks.select("term", "df").collect()  # at most MAX_TERMS rows
-    vocabulary = [bytes(r["term"]) for r in marks]
+    marks = terms.withColumn("z", odds / error).where((F.col("z") >= MIN_Z) & (odds >= MIN_LIFT)).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
+    marks = marks.select("term", "df").toArrow()  # at most MAX_TERMS rows
+    vocabulary = marks["term"].to_pylist()
     place = spark.createDataFrame([(t, i) for i, t in enumerate(vocabulary)], "term binary, place int")
-    hits = long.join(F.broadcast(place), "term").groupBy("id").agg(F.collect_list(F.struct("place", "tf")).alias("tf"))
-    found = {r["id"]: {x["place"]: x["tf"] for x in r["tf"]} for r in hits.collect()}  # vocabulary terms of the examples only
-    rows = [(r["id"], r["label"], found.get(r["id"], {})) for r in sample.orderBy("id", "label").collect()]
+    hits = long.join(F.broadcast(place), "term").groupBy("id", "label").agg(F.collect_list(F.struct("place", "tf")).alias("x"))
+    # the vocabulary's terms of the examples, no more; as Arrow columns, which stay compact on the driver
+    found = hits.select("id", "label", "x.place", "x.tf").toArrow()
+    rows = [(i, y, np.asarray(t.values), np.asarray(n.values)) for i, y, t, n in zip(found["id"].to_pylist(), found["label"].to_pylist(), found["place"], found["tf"], strict=True)]
+    have = {(i, y) for i, y, _, _ in rows}
+    none = np.zeros(0, np.int64)
+    rows += [(r["id"], r["label"], none, none) for r in sample.collect() if (r["id"], r["label"]) not in have]
+    rows.sort(key=lambda r: r[:2])
     drop_table(long)
     weight = (total.get(0, 0) / n0, total.get(1, 0) / n1)
-    return NeighbourModel(vocabulary, np.array([r["df"] for r in marks], float), rows, len(rows), weight, k)
+    return NeighbourModel(vocabulary, np.asarray(marks["df"], float), rows, weight, k)
 
 
 _SCORED = "score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"
@@ -235,4 +262,4 @@ def score(docs: DataFrame, model: NeighbourModel, keep: list[str], text_col: str
             evidence = pa.array([e for _, e in out], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([s for s, _ in out], pa.float64()), evidence], [*b.schema.names[:-1], "score", "evidence"])
 
-    return cols.mapInArrow(run, f"{kinds}, {_SCORED}")
+    return cols.mapInArrow(lean(run), f"{kinds}, {_SCORED}")
