@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from hashlib import blake2b
-from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .near_dedup import shingle_sets
 from .shared import drop_table, lean, stage_table, tune
 from .textbytes import alnum_words
 
@@ -47,12 +46,9 @@ def terms_of(text: str | None) -> Counter:
 
 
 def _signatures(batches):
-    """(id, label, signature): the two least hashes of a text's longer words, which near copies mostly share."""
+    """(id, label, signature): the two least hashes of a text's three-word shingles, which near copies mostly share."""
     for b in batches:
-        sig = []
-        for t in b.column(2).to_pylist():
-            words = {w for w in alnum_words(t) if len(w) >= 6} or {t.encode() if t else b""}
-            sig.append(b"".join(nsmallest(2, (blake2b(w, digest_size=8).digest() for w in words))))
+        sig = [s[:2].tobytes() for s in shingle_sets(b.column(2), 3)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary())], ["id", "label", "sig"])
 
 
