@@ -21,29 +21,32 @@ BROADCAST_BYTES = 256 << 20
 QUERY_ROWS, BANK_ROWS = 8192, 32_768
 
 
-def squared_distances(q: np.ndarray, bank_t: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(q), bank_t.shape[1]))
-    for d in range(q.shape[1]):
-        diff = q[:, d, None] - bank_t[d]
-        out += diff * diff
-    return out
-
-
 def top_k(q: np.ndarray, bank_ids: np.ndarray, bank_t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, squared distances), both len(q) x min(k, bank); ties go to the lower id. bank_ids must ascend."""
+    """(ids, squared distances), both len(q) x min(k, bank); ties go to the lower id. bank_ids must ascend.
+
+    A matrix product bounds all distances; those that rounding can't tell from the k-th best are computed exactly.
+    """
     k = min(k, len(bank_ids))
     ids, dist = np.zeros((len(q), k), np.int64), np.zeros((len(q), k))
-    for at in range(0, len(q), 256):
-        d = squared_distances(q[at : at + 256], bank_t)
-        if k == 1:
-            order = d.argmin(axis=1)[:, None]
-        elif k < d.shape[1]:
-            bound = np.partition(d, k - 1, axis=1)[:, k - 1]
-            order = np.stack([(c := np.flatnonzero(r <= b))[np.argsort(r[c], kind="stable")[:k]] for r, b in zip(d, bound, strict=True)])
-        else:
-            order = np.argsort(d, axis=1, kind="stable")
-        ids[at : at + 256] = bank_ids[order]
-        dist[at : at + 256] = np.take_along_axis(d, order, axis=1)
+    bank_norm = (bank_t * bank_t).sum(axis=0)
+    for at in range(0, len(q), 512):
+        x = q[at : at + 512]
+        norm = (x * x).sum(axis=1)
+        rough = x @ bank_t
+        rough *= -2
+        rough += norm[:, None]
+        rough += bank_norm
+        kth = rough.min(axis=1) if k == 1 else np.partition(rough, k - 1, axis=1)[:, k - 1]
+        slack = 4e-16 * (len(bank_t) + 8) * (norm + bank_norm.max() + 1e-300) * 2
+        row, col = np.nonzero(rough <= (kth + 2 * slack)[:, None])
+        exact = np.zeros(len(row))
+        for d in range(len(bank_t)):
+            diff = x[row, d] - bank_t[d, col]
+            exact += diff * diff
+        order = np.lexsort((col, exact, row))
+        first = np.searchsorted(row, np.arange(len(x)))
+        best = order[first[:, None] + np.arange(k)]
+        ids[at : at + 512], dist[at : at + 512] = bank_ids[col[best]], exact[best]
     return ids, dist
 
 

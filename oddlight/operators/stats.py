@@ -114,7 +114,7 @@ def mahalanobis(patches: DataFrame, gauss: DataFrame, keys: list[str], strategy:
             x, m, p = (matrix(b.column(b.schema.get_field_index(c))) for c in ("feat", "mean", "precision"))
             n, d = x.shape if x.size else (0, 0)
             diff = x.astype(np.float32).astype(float) - m if n else np.zeros((0, 0))
-            q = np.einsum("ni,nij,nj->n", diff, p.reshape(n, d, d), diff) if n else np.zeros(0)
+            q = ((diff[:, None, :] @ p.reshape(n, d, d))[:, 0] * diff).sum(axis=1) if n else np.zeros(0)
             if (q < -1e-4).any() or not np.isfinite(q).all():
                 raise ValueError("AdapterFailure: invalid Mahalanobis distance")
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keys], pa.array(np.sqrt(np.maximum(q, 0)))], [*keys, "v"])
@@ -247,12 +247,13 @@ def log_density(patches: DataFrame, gallery: np.ndarray, sigma: float, keys: lis
     scale = 2 * sigma * sigma
     gallery_t = np.ascontiguousarray(gallery.T)
 
-    def kernel(x: np.ndarray) -> np.ndarray:
-        from .knn import squared_distances
+    norms = (gallery_t * gallery_t).sum(axis=0)
 
+    def kernel(x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
         for at in range(0, len(x), 256):
-            d = squared_distances(x[at : at + 256], gallery_t)
+            block = x[at : at + 256]
+            d = np.maximum((block * block).sum(axis=1)[:, None] + norms - 2 * (block @ gallery_t), 0)
             low = d.min(axis=1)
             out[at : at + 256] = low / scale - np.log(np.exp(-(d - low[:, None]) / scale).sum(axis=1))
         return out
