@@ -105,6 +105,8 @@ QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_lm_scoring,
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLE_SQL = {
     "op1_near_dedup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
@@ -120,4 +122,21 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents),
         w AS (SELECT text_sha256, arg_min(doc_id, (-chars, doc_id)) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT d.doc_id, w.keep_id, w.group_size, d.doc_id = w.keep_id AS kept, d.text_sha256 FROM d JOIN w USING (text_sha256)""",
+    "op5_decontamination": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') AS words FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') AS words FROM benchmark),
+        win AS (SELECT DISTINCT item_id, least(len(words), 10) AS n, unnest(list_transform(range(1, len(words) - least(len(words), 10) + 2), lambda i: array_to_string(words[i:i + least(len(words), 10) - 1], ' '))) AS gram FROM b WHERE len(words) > 0),
+        pos AS (SELECT doc_id, n, unnest(range(1, len(words) - n + 2)) AS i, words FROM d, (SELECT DISTINCT n FROM win) WHERE len(words) >= n),
+        hit AS (SELECT pos.doc_id, pos.i, win.n, win.item_id FROM pos JOIN win ON win.n = pos.n AND win.gram = array_to_string(pos.words[pos.i:pos.i + pos.n - 1], ' ')),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM hit), LATERAL (SELECT unnest(range(i, i + n)) AS p) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.words) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items, sha256(coalesce(m.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(p.h, 1 + 5 * (i // 4), 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+          CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM p JOIN f ON f.h = p.h""",
 }
