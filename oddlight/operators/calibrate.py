@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, NotInitialized
@@ -28,19 +29,38 @@ def quantile_index(n: int, fpr: float) -> int:
     return math.floor((1 - float32(fpr)) * (n - 1))
 
 
+def select_ranks(df: DataFrame, by: list[str], value: str, rank: Callable[[Column], Column], bins: int = 4096) -> DataFrame:
+    """(by, n, lo, hi, chosen): for each group its count, range, and the value of the given rank (from 0), exactly.
+
+    The range of a group is cut into bins, their counts are summed before the shuffle, and the bin that holds the rank
+    becomes the next range, until one value is left. Nothing is sorted, a hot group costs its bins, and each pass reads
+    the data once; two to four passes do. One row for each group is held on the driver between passes.
+    """
+    if not by:
+        return select_ranks(df.withColumn("_all", F.lit(0)), ["_all"], value, rank, bins).drop("_all")
+    spark = df.sparkSession
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    first = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = first.withColumn("at", rank(F.col("n")).cast("long")).withColumn("a", F.col("lo")).withColumn("b", F.col("hi")).where("n > 0")
+    schema = state.schema
+    held = state.collect()
+    while any(r["a"] < r["b"] for r in held):
+        todo = F.broadcast(spark.createDataFrame([r for r in held if r["a"] < r["b"]], schema))
+        x = rows.join(todo, by).where("v BETWEEN a AND b")
+        x = x.withColumn("bin", F.least(F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * bins), F.lit(bins - 1)))
+        counts = x.groupBy(*by, "n", "lo", "hi", "at", "bin").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        upto = F.sum("c").over(Window.partitionBy(*by).orderBy("bin"))
+        found = counts.withColumn("upto", upto).where("upto > at AND upto - c <= at").withColumn("at", F.expr("at - (upto - c)"))
+        held = [r for r in held if not r["a"] < r["b"]] + found.select(*schema.names).collect()
+    return spark.createDataFrame(held, schema).select(*by, "n", "lo", "hi", F.col("a").alias("chosen"))
+
+
 def ordered_value(df: DataFrame, value: Column, index: int) -> float:
-    """The index-th smallest value: range-partitioned sort and per-partition counts, no single-task sort."""
-    rows = df.select(value.cast("double").alias("v")).where("v is not null").sort("v").withColumn("_m", F.monotonically_increasing_id())
-    rows = rows.select("v", F.shiftright("_m", 33).alias("part"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("i")).persist()
-    try:
-        counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each task
-        for part in sorted(counts):
-            if index < counts[part]:
-                return rows.where((F.col("part") == part) & (F.col("i") == index)).first()["v"]
-            index -= counts[part]
-    finally:
-        rows.unpersist()
-    raise NotInitialized("no scores to calibrate on")
+    """The index-th smallest value that is not null."""
+    row = select_ranks(df.select(value.alias("v")), [], "v", lambda n: F.least(F.lit(index), n - 1)).first()
+    if row is None or index >= row["n"]:
+        raise NotInitialized("no scores to calibrate on")
+    return row["chosen"]
 
 
 def sampled_pixels(pixels: DataFrame, keys: list[str], cap: int = MAX_PIXELS, seed: int = SEED) -> DataFrame:
@@ -50,11 +70,17 @@ def sampled_pixels(pixels: DataFrame, keys: list[str], cap: int = MAX_PIXELS, se
     return pixels.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(cap)
 
 
+def _rank(fpr: float) -> Callable[[Column], Column]:
+    if not 0 < fpr < 1:
+        raise InvalidArgument("the false-positive rate must be in (0, 1)")
+    return lambda n: F.floor(F.lit(1 - float32(fpr)) * (n - 1))
+
+
 def _range(df: DataFrame, value: str, fpr: float) -> tuple[int, float, float, float]:
-    r = df.agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    if not r["n"]:
+    r = select_ranks(df, [], value, _rank(fpr)).first()
+    if r is None:
         raise NotInitialized("no scores to calibrate on")
-    return r["n"], *widened(float(r["lo"]), float(r["hi"])), ordered_value(df, F.col(value), quantile_index(r["n"], fpr))
+    return r["n"], *widened(r["lo"], r["hi"]), r["chosen"]
 
 
 def calibrate(raw: DataFrame, fpr: float = FPR, max_pixels: int = MAX_PIXELS, seed: int = SEED) -> Row:
@@ -72,20 +98,8 @@ def calibrate(raw: DataFrame, fpr: float = FPR, max_pixels: int = MAX_PIXELS, se
 
 
 def calibrate_groups(df: DataFrame, by: list[str], value: str, fpr: float = FPR) -> DataFrame:
-    """(by, n, low, high, threshold) for each group, all in one shuffle of counts by value.
-
-    Equal values are counted before the shuffle, and the quantile is read off the running count, so a hot group costs
-    its number of distinct values.
-    """
-    if not 0 < fpr < 1:
-        raise InvalidArgument("the false-positive rate must be in (0, 1)")
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    whole = Window.partitionBy(*by)
-    counts = counts.withColumn("upto", F.sum("c").over(whole.orderBy("v"))).withColumn("n", F.sum("c").over(whole))
-    at = F.floor(F.lit(1 - float32(fpr)) * (F.col("n") - 1))
-    out = counts.groupBy(*by).agg(F.max("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.min(F.when(F.col("upto") > at, F.col("v"))).alias("threshold"))
+    """(by, n, low, high, threshold) for each group."""
+    out = select_ranks(df, by, value, _rank(fpr))
     d = F.greatest(F.lit(1e-6), F.abs("lo") * 1e-6)
     flat = F.col("hi") <= F.col("lo")
-    return out.select(*by, "n", F.when(flat, F.col("lo") - d).otherwise(F.col("lo")).alias("low"), F.when(flat, F.col("hi") + d).otherwise(F.col("hi")).alias("high"), "threshold")
+    return out.select(*by, "n", F.when(flat, F.col("lo") - d).otherwise(F.col("lo")).alias("low"), F.when(flat, F.col("hi") + d).otherwise(F.col("hi")).alias("high"), F.col("chosen").alias("threshold"))
