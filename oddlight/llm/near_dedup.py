@@ -4,11 +4,12 @@
    values, and an Odd sketch: the 128 MinHash values folded into a parity bitmap, whose XOR population count between two
    documents estimates a high similarity closely.
 2. Documents with the same set become one class, so copies cost one row each from here on.
-3. Classes that share a band key are candidates. In rounds over growing sets of bands, the members of a bucket that
-   still belong to several components meet in cells of bounded size. A cell compares sketches, confirms passing pairs
-   on the full sets, and returns a spanning forest of the links, never the pairs. A large bucket is dealt into blocks
-   (each also sees the bucket's first member), which joins nearly everything at the cost of one copy of each row; in
-   the last round the members outside the bucket's largest component meet all blocks, so no link is lost.
+3. Classes that share a band key are candidates. In rounds over sets of bands, the members of a bucket that still belong
+   to several components meet in cells of bounded size: a bucket is dealt into blocks (each also sees the bucket's first
+   member), which joins nearly everything at the cost of one copy of each row. A cell compares sketches, confirms passing
+   pairs on the full sets, and returns a spanning forest of the links, never the pairs. In the last round the buckets of
+   all bands are screened whole by sketches alone; components with likely pairs between them become a family, and within
+   a family the members outside its largest component meet all the others once, with their sets: no link is lost.
 4. After every round the forest is contracted by distributed connected components.
 
 A pair at the threshold shares no band with probability (1 - 0.8^4)^32 < 1e-7. Full sets are only gathered for classes
@@ -25,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_table, stage_table, tune
+from .shared import drop_table, lean, stage_table, tune
 from .textbytes import fmix, hashed_words
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
-#: Members in a block.
-BLOCK = 256
-#: Bands by round; the last round compares whole buckets.
-ROUNDS = ((0, 2), (0, 8), (0, 32))
+#: Members in a block, where full sets are compared and where sketches are.
+BLOCK, SCREEN_BLOCK = 256, 1024
+#: Bands of the rounds before the last, which takes all.
+ROUNDS = ((0, 2), (2, 10))
 #: A sketch estimate this far below the threshold (4.5 standard deviations) still goes to the exact check.
 SLACK = 0.16
 BLOOM_MAX_BITS = 1 << 28
@@ -141,7 +142,7 @@ def _bloom(needed: DataFrame):
         yield pa.record_batch([pa.array([np.packbits(on).tobytes()], pa.binary())], ["bitmap"])
 
     bitmap = np.zeros(bits // 8, np.uint8)
-    for r in needed.select("digest").coalesce(8).mapInArrow(fill, "bitmap binary").toLocalIterator():
+    for r in needed.select("digest").coalesce(8).mapInArrow(lean(fill), "bitmap binary").toLocalIterator():
         bitmap |= np.frombuffer(r["bitmap"], np.uint8)
     return needed.sparkSession.sparkContext.broadcast((bits, bitmap.tobytes()))
 
@@ -183,16 +184,19 @@ def _intersections(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return total[pairs[:, 0], pairs[:, 1]].astype(np.int64)
 
 
-def link_cell(nodes: np.ndarray, comps: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning forest, over components, of the confirmed links between members of different components."""
-    n = len(nodes)
-    diff = np.zeros((n, n), np.int64)
+def likely_pairs(comps: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of members of different components whose sketches are close enough."""
+    n = len(comps)
+    diff = np.zeros((n, n), np.uint16)
     for w in range(sketches.shape[1]):
         diff += np.bitwise_count(sketches[:, None, w] ^ sketches[None, :, w])
-    likely = np.triu(sketch_similarity(diff) >= percent / 100 - SLACK, 1) & (comps[:, None] != comps[None, :])
-    pairs = np.argwhere(likely)
-    if not len(pairs):
-        return []
+    close = sketch_similarity(np.arange(SKETCH_BITS + 1)) >= percent / 100 - SLACK
+    return np.argwhere(np.triu(close[diff], 1) & (comps[:, None] != comps[None, :]))
+
+
+def link_cell(nodes: np.ndarray, comps: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Spanning forest, over components, of the confirmed links between members of different components."""
+    pairs = likely_pairs(comps, sketches, percent)
     size = np.array([len(s) for s in sets])
     x, y = size[pairs[:, 0]], size[pairs[:, 1]]
     pairs = pairs[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]  # sizes alone rule out the rest
@@ -204,37 +208,60 @@ def link_cell(nodes: np.ndarray, comps: np.ndarray, sketches: np.ndarray, sets:
         used = np.unique(pairs)
         common = _intersections([sets[i] for i in used.tolist()], np.searchsorted(used, pairs))
     linked = pairs[100 * common >= percent * (size[pairs[:, 0]] + size[pairs[:, 1]] - common)]
-    up: dict[int, int] = {}
+    return _forest(comps, linked)
+
+
+def _forest(comps: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Stars that span the components which pairs of members join."""
+    names, ends = np.unique(comps[pairs], return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    low = np.arange(len(names))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    rest = np.flatnonzero(low != np.arange(len(names)))
+    return list(zip(names[low[rest]].tolist(), names[rest].tolist(), strict=True))
+
+
+def _sketches(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sketch"].to_pylist()), "<u8").reshape(-1, SKETCH_BITS // 64)
+
 
-    def root(c: int) -> int:
-        while c in up:
-            c = up[c]
-        return c
+def _edges(forest: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in forest], pa.int64()), "b": pa.array([b for _, b in forest], pa.int64())})
 
-    forest = []
-    for a, b in comps[linked].tolist():
-        a, b = root(a), root(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            forest.append((a, b))
-    return forest
 
+def _screen(percent: int):
+    """Components in a cell that likely pairs join; only the sketches are needed."""
 
-def _cell(percent: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        sketches = np.frombuffer(b"".join(t["sketch"].to_pylist()), "<u8").reshape(-1, SKETCH_BITS // 64)
+        comps = t["comp"].to_numpy()
+        return _edges(_forest(comps, likely_pairs(comps, _sketches(t), percent)))
+
+    return run
+
+
+def _link(percent: int):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
         sets = [np.frombuffer(s, np.uint64) for s in t["hashes"].to_pylist()]
-        forest = link_cell(t["node"].to_numpy(), t["comp"].to_numpy(), sketches, sets, percent)
-        return pa.table({"a": pa.array([a for a, _ in forest], pa.int64()), "b": pa.array([b for _, b in forest], pa.int64())})
+        return _edges(link_cell(t["node"].to_numpy(), t["comp"].to_numpy(), _sketches(t), sets, percent))
 
     return run
 
 
-def _cells(members: DataFrame, whole: bool) -> DataFrame:
-    """(band, cell, node): members of buckets with several components, dealt into cells of bounded size."""
+def _cells(members: DataFrame, whole: bool, size: int) -> DataFrame:
+    """(band, i, j, node, comp): members of buckets with several components, dealt into cells of bounded size.
+
+    Dealt, a bucket's members meet within their block and with its first member; whole, every pair of members of
+    different components meets in some cell.
+    """
     stats = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    open_ = members.join(stats.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
+    open_ = members.join(stats.select("band", F.ceil(F.col("n") / size).cast("int").alias("blocks")), "band")
     block = F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int")
     small = open_.where("blocks = 1").select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "comp")
     large = open_.where("blocks > 1").withColumn("block", block)
@@ -253,6 +280,21 @@ def _cells(members: DataFrame, whole: bool) -> DataFrame:
     return small.unionByName(outside).unionByName(other).distinct()
 
 
+def _with_roots(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return nodes.withColumn("comp", F.col("node"))
+    return nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+
+def _joined(forest: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Roots after more links between components; the stars of the components so far are links as well."""
+    forest = stage_table(forest, "forest")
+    stars = [] if roots is None else [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+    out = components(forest.unionByName(stars[0]) if stars else forest)
+    drop_table(forest)
+    return out
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per document: row, doc_id, n_shingles, component_id, kept, first_row.
 
@@ -265,7 +307,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     tune(docs.sparkSession)
     cols = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")]
     text = docs.select(*([F.col(row_col).alias("row")] if row_col else []), *cols)
-    signed = text.mapInArrow(_signatures(shingle), ("row long, " if row_col else "") + "id long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    signed = text.mapInArrow(lean(_signatures(shingle)), ("row long, " if row_col else "") + "id long, n_shingles long, digest binary, bands array<long>, sketch binary")
     signed = stage_table(signed if row_col else signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node"))
     classes = stage_table(classes, "classes")
@@ -277,24 +319,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     banded = stage_table(banded.join(shared, "band"), "buckets")  # only buckets with company
     needed = stage_table(banded.select("node").distinct().join(rep.select("node", "digest", "sketch"), "node"), "needed")
     bloom = _bloom(needed)
-    sets = text.select("text").mapInArrow(_needed_sets(shingle, bloom), "digest binary, hashes binary")
+    sets = text.select("text").mapInArrow(lean(_needed_sets(shingle, bloom)), "digest binary, hashes binary")
     sets = stage_table(needed.join(sets.groupBy("digest").agg(F.first("hashes").alias("hashes")), "digest").select("node", "sketch", "hashes"), "sets")
     drop_table(needed)
 
     roots = None  # (node, root) so far
     for lo, hi in ROUNDS:
-        members = banded.where(F.col("no").between(lo, hi - 1)).select("band", "node")
-        members = members.withColumn("comp", F.col("node")) if roots is None else members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("comp"))
-        members = stage_table(members, "members")
-        cells = _cells(members, whole=hi == BANDS)
-        forest = cells.join(sets, "node").groupBy("band", "i", "j").applyInArrow(_cell(percent), "a long, b long")
-        forest = stage_table(forest, "forest")
+        members = stage_table(_with_roots(banded.where(F.col("no").between(lo, hi - 1)).select("band", "node").distinct(), roots), "members")
+        forest = _cells(members, False, BLOCK).join(sets, "node").groupBy("band", "i", "j").applyInArrow(_link(percent), "a long, b long")
+        roots = _joined(forest, roots)
         drop_table(members)
-        if roots is None:
-            roots = components(forest)
-        else:  # links between components, and the stars of the components so far
-            roots = components(forest.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        drop_table(forest)
+    # the last round: components that likely pairs of any band join are one family, and within a family no pair is left out
+    members = stage_table(_with_roots(banded.select("band", "node").distinct(), roots), "members")
+    likely = _cells(members, True, SCREEN_BLOCK).join(sets.select("node", "sketch"), "node").groupBy("band", "i", "j").applyInArrow(_screen(percent), "a long, b long")
+    families = components(stage_table(likely, "likely"))
+    heads = families.select(F.col("node").alias("comp"), F.col("root").alias("band")).unionByName(families.select(F.col("root").alias("comp"), F.col("root").alias("band")).distinct())
+    kin = stage_table(_with_roots(sets.select("node"), roots).join(heads, "comp").select("band", "node", "comp"), "kin")
+    forest = _cells(kin, True, BLOCK).join(sets, "node").groupBy("band", "i", "j").applyInArrow(_link(percent), "a long, b long")
+    roots = _joined(forest, roots)
+    drop_table(members)
+    drop_table(kin)
     drop_table(banded)
     drop_table(sets)
     drop_table(rep)
