@@ -14,11 +14,35 @@ from oddlight.llm.exact_dedup import exact_dedup
 from oddlight.llm.language_id import fit_profiles, identify
 from oddlight.llm.near_dedup import near_duplicates
 from oddlight.llm.packing import pack
-from oddlight.llm.shared import row_keys, stage_table
+from oddlight.llm.shared import drop_path, row_keys, stage_table, staged_paths
 
 _ROW = "_pipeline_row"
 
 
+_left: list[str] = []  # what the stage before has staged
+
+
+def _after(stage):
+    """A stage that first drops what the stage before staged: its result has been written by now, as STAGES demands."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for path in _left:
+            drop_path(spark, path)
+        return _noted(stage)(spark, docs, sf_dir)
+
+    return run
+
+
+def _noted(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with staged_paths() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left[:] = paths
+        return out
+
+    return run
+
+
 def _kept(docs: DataFrame, columns: list[str], rows: DataFrame) -> DataFrame:
     return docs.join(rows.select(F.col("row").alias(_ROW)), _ROW, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
 
@@ -54,11 +78,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", language_id),
-    ("exact_dedup", exact),
-    ("near_dedup", near),
-    ("decontamination", benchmark_free),
-    ("packing", packed),
+    ("language_id", _noted(language_id)),
+    ("exact_dedup", _after(exact)),
+    ("near_dedup", _after(near)),
+    ("decontamination", _after(benchmark_free)),
+    ("packing", _after(packed)),
 ]
 
 #: The stages learn language profiles, follow components and tokenise; SQL can't express them.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage_table, tune
+from .shared import lean, stage_table, tune
 from .textbytes import alnum_words
 
 #: Item words in one automaton (about 150 MB in a worker at most).
@@ -187,7 +187,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     passes = []
     for block in _blocks(items, item_col, item_text):
         shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        passes.append(base.mapInArrow(_scan(shared), f"doc_id {kind}, text string, {_HITS}").drop("text"))
+        passes.append(base.mapInArrow(lean(_scan(shared)), f"doc_id {kind}, text string, {_HITS}").drop("text"))
     if len(passes) == 1:
         return passes[0]
     return _merged(docs, passes, kind)
@@ -208,7 +208,7 @@ def _merged(docs: DataFrame, passes: list[DataFrame], kind: str) -> DataFrame:
             cols |= {"starts": [[a for a, _ in s] for s in spans], "ends": [[z for _, z in s] for s in spans]}
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(cols[c], pa.list_(pa.int64())) for c in ("starts", "ends")], b.column(4)], ["doc_id", "n_words", "starts", "ends", "items"])
 
-    return one.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(run, f"doc_id {kind}, {_HITS}")
+    return one.select("doc_id", "n_words", "starts", "ends", "items").mapInArrow(lean(run), f"doc_id {kind}, {_HITS}")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, min_span: int = 1, max_coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -224,7 +224,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, min_span:
     out = docs.withColumn("_cut", F.lit(False))
     for block in _blocks(items, item_col, item_text):
         shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        out = out.mapInArrow(_clean(shared, out.columns.index(text_col), min_span, max_coverage), out.schema)
+        out = out.mapInArrow(lean(_clean(shared, out.columns.index(text_col), min_span, max_coverage)), out.schema)
     if length_col in columns:
         fresh = F.char_length(F.col(text_col)).cast(docs.schema[length_col].dataType)
         out = out.withColumn(length_col, F.when(F.col("_cut"), fresh).otherwise(F.col(length_col)))

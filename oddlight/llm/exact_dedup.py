@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_table, shuffle_parts, stage_table, tune
+from .shared import drop_table, lean, shuffle_parts, stage_table, tune
 
 #: Distinct digests per index partition (about 2 MB), and documents per lookup task.
 SLOTS, LOOKUPS = 32_768, 65_536
@@ -42,9 +42,9 @@ def digest_table(docs: DataFrame, id_col: str, text_col: str, row_col: str | Non
     tune(docs.sparkSession)
     cols = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")]
     if row_col:
-        rows = docs.select(F.col(row_col).alias("row"), *cols).mapInArrow(_digests, "row long, id long, chars long, digest binary")
+        rows = docs.select(F.col(row_col).alias("row"), *cols).mapInArrow(lean(_digests), "row long, id long, chars long, digest binary")
     else:
-        rows = docs.select(*cols).mapInArrow(_digests, "id long, chars long, digest binary").withColumn("row", F.monotonically_increasing_id())
+        rows = docs.select(*cols).mapInArrow(lean(_digests), "id long, chars long, digest binary").withColumn("row", F.monotonically_increasing_id())
     return stage_table(rows, "digests")
 
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import tune
+from .shared import lean, tune
 from .textbytes import text_bytes
 
 #: N-grams in a profile, and how many of a document's own are compared.
@@ -26,10 +26,9 @@ GRAMS = 3
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
-def _folded(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Letters lower-cased in A-Z, everything else one space; ends are the positions of document ends (kept as space)."""
+def _folded(data: np.ndarray) -> np.ndarray:
+    """Letters lower-cased in A-Z and among the accented Latin letters of bytes C3 80-9E; all other ASCII becomes space."""
     folded = _FOLD[data]
-    # lower-case the two-byte Latin-1 and Greek/Cyrillic-free range: C3 80..C3 9E become C3 A0..C3 BE
     lead = np.zeros(len(data), bool)
     lead[1:] = data[:-1] == 0xC3
     upper = lead & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
@@ -41,7 +40,7 @@ def gram_counts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes, counts) of the 1- to GRAMS-byte n-grams of one text, spaces collapsed, with a space at either end."""
     codes, counts = [], []
     for at in range(0, max(len(raw), 1), PIECE):
-        t = _folded(raw[max(at - GRAMS, 0) if at else 0 : at + PIECE], None)
+        t = _folded(raw[at : at + PIECE])
         c, n = _count(t)
         codes.append(c)
         counts.append(n)
@@ -86,7 +85,7 @@ def _profile_counts(batches):
         for lang in sorted(set(langs)):
             rows = pa.array([i for i, x in enumerate(langs) if x == lang], pa.int64())
             data, offsets = text_bytes(b.column(1).take(rows))
-            grams = [_grams(_folded(data[a:z], None)) for a, z in _ranges(offsets)]
+            grams = [_grams(_folded(data[a:z])) for a, z in _ranges(offsets)]
             codes, counts = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
             if lang in held:
                 codes, place = np.unique(np.concatenate([held[lang][0], codes]), return_inverse=True)
@@ -106,7 +105,7 @@ def fit_profiles(training: DataFrame, lang_col: str = "lang", text_col: str = "t
     """{language: its most frequent n-grams in order} over all training rows; rows with null text or language do not count."""
     tune(training.sparkSession)
     rows = training.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    sums = rows.mapInArrow(_profile_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(lean(_profile_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     out: dict[str, list[int]] = {}
     for r in sums.withColumn("rank", rank).where(F.col("rank") <= size).orderBy("lang", "rank").collect():  # size rows for each language
@@ -170,4 +169,4 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], t
     shared = spark.sparkContext.broadcast(Profiles(profiles, size))
     cols = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1])
-    return cols.mapInArrow(_predict(shared), f"{kinds}, lang_pred string, score double")
+    return cols.mapInArrow(lean(_predict(shared)), f"{kinds}, lang_pred string, score double")

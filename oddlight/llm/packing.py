@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prefix_offsets, stage_table, tune
+from .shared import lean, prefix_offsets, stage_table, tune
 
 
 def binary_pieces(tokens: int, longest: int) -> list[int]:
@@ -58,7 +58,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096,
     tune(spark)
     cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = cols.schema["doc_id"].dataType.simpleString()
-    pieces = stage_table(cols.mapInArrow(_pieces(tokenizer, end_id, longest), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, task long, local long"), "pieces")
+    pieces = stage_table(cols.mapInArrow(lean(_pieces(tokenizer, end_id, longest)), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, task long, local long"), "pieces")
     counts = {(-r["length"], r["task"]): r["n"] for r in pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")).collect()}
     at = prefix_offsets(counts, sorted(counts))
     offsets = spark.createDataFrame([(-n, t, first) for (n, t), first in at.items()], "length long, task long, first long")

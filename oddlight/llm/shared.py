@@ -11,12 +11,14 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: whole texts travel, so batches are kept far below the default of 10000 rows.
+#: Rows per Arrow batch (whole texts travel, so far fewer than the default of 10000), and bytes of text in one.
 ARROW_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -24,14 +26,30 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def _small(batches):
+    for b in batches:
+        text = b.column(b.num_columns - 1)
+        if not pa.types.is_string(text.type) or text.nbytes <= BATCH_BYTES:
+            yield b
+            continue
+        ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+        at = 0
+        while at < len(text):
+            to = max(int(np.searchsorted(ends, ends[at] + BATCH_BYTES, "right")) - 1, at + 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def lean(kernel):
-    """A mapInArrow kernel that hands freed memory back to the system at the end of a task.
+    """A mapInArrow kernel with bounded memory: it gets at most BATCH_BYTES of text at a time (or one longer text), and
+    hands freed memory back to the system at the end of a task.
 
-    Workers are reused, so what one stage's kernel has left in the allocator would count against the next one's room.
+    The text is the last column. Workers are reused, so what one stage's kernel has left in the allocator would count
+    against the next one's room.
     """
 
     def run(batches):
-        yield from kernel(batches)
+        yield from kernel(_small(batches))
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
         if trim:

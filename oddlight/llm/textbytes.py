@@ -9,7 +9,7 @@ import pyarrow as pa
 
 _SPACE = bytes([0x20, 9, 10, 11, 12, 13])
 #: Bytes handled at a time; a longer text is cut at separators, so memory stays bounded by the longest word.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def _table(is_word) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +67,8 @@ class _Powers:
 _powers = _Powers()
 
 
-def _hash_range(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in data and the byte position of each; cuts are positions at which a word ends anyway."""
+def _hash_range(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words in data and where each begins and ends; cuts are positions at which a word ends anyway."""
     word = SPACED[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -81,7 +81,7 @@ def _hash_range(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     up, down = _powers.get(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(SPACED_VALUES[data] * up[: len(data)], out=total[1:])
-    return fmix((total[b] - total[a]) * down[a]), a
+    return fmix((total[b] - total[a]) * down[a]), a, b
 
 
 def _slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -100,15 +100,20 @@ def _slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def hash_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hashes, begins, ends) of all words of texts given as bytes and offsets."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a, b in _slices(data, offsets):
+        h, p, q = _hash_range(data[a:b], offsets[(offsets > a) & (offsets < b)] - a)
+        parts.append((h, p + a, q + a))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def hashed_words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every word of every text, word offsets by text); words are lower-cased in A-Z only."""
     data, offsets = text_bytes(arr)
-    hashes, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for a, b in _slices(data, offsets):
-        h, p = _hash_range(data[a:b], offsets[(offsets > a) & (offsets < b)] - a)
-        hashes.append(h)
-        at.append(p + a)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(at), offsets)
+    hashes, begins, _ = hash_spans(data, offsets)
+    return hashes, np.searchsorted(begins, offsets)
 
 
 #: Words of the decontamination contract: runs of digits, letters a-z (after lower-casing A-Z) and non-ASCII bytes.

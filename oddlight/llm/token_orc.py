@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import prefix_offsets, shuffle_parts, stage_table, tune
+from .shared import lean, prefix_offsets, shuffle_parts, stage_table, tune
 
 
 def _encode(path: str, end: int):
@@ -41,7 +41,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
     tune(spark)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = cols.repartitionByRange(parts or shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id")
-    coded = ordered.mapInArrow(_encode(tokenizer, end_id), "doc_id long, part int, pos long, ids array<int>")
+    coded = ordered.mapInArrow(lean(_encode(tokenizer, end_id)), "doc_id long, part int, pos long, ids array<int>")
     coded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(16 << 20)).orc(path)
 
 
@@ -63,7 +63,7 @@ def _summary(batches):
 def token_summary(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     tune(spark)
-    rows = stage_table(read_tokens(spark, path).mapInArrow(_summary, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long"), "token-summary")
+    rows = stage_table(read_tokens(spark, path).mapInArrow(lean(_summary), "doc_id long, part int, pos long, n_tokens long, ids_crc32 long"), "token-summary")
     totals = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # one number for each file
     offsets = spark.createDataFrame(list(prefix_offsets(totals, sorted(totals)).items()), "part int, first long")
     before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
