@@ -439,3 +439,13 @@ def test_toxicity(spark):
 def test_isotonic_is_monotone():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert (np.diff(y) >= 0).all() and y.tolist() == [0, 0.5, 1] and json.dumps(x.tolist())
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    from oddlight.llm import shared
+
+    monkeypatch.setattr(shared, "BATCH_BYTES", 10)
+    texts = ["a" * 4, "b" * 4, None, "c" * 30, "", "d" * 9, "e"]
+    batch = pa.record_batch([pa.array(range(8)), pa.array(["skip", *texts])], ["i", "t"]).slice(1)
+    parts = list(shared.lean(lambda batches: batches)([batch]))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts and [p.num_rows for p in parts] == [3, 1, 3]
