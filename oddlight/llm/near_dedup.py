@@ -316,7 +316,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     banded = rep.select("node", F.posexplode("bands").alias("no", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    # written apart from its shuffle, so that adaptive execution may split a hot band in the join
+    shared = stage_table(shared, "shared-bands")
     banded = stage_table(banded.join(shared, "band"), "buckets")  # only buckets with company
+    drop_table(shared)
     needed = stage_table(banded.select("node").distinct().join(rep.select("node", "digest", "sketch"), "node"), "needed")
     bloom = _bloom(needed)
     sets = text.select("text").mapInArrow(lean(_needed_sets(shingle, bloom)), "digest binary, hashes binary")
@@ -347,5 +350,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     rows = signed.select("row", F.col("id").alias("doc_id"), "n_shingles", "digest").join(named, "digest", "left")
     rows = stage_table(rows.withColumn("component", F.coalesce("component", F.col("row"))), "classified")
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    out = rows.join(best, "component")
+    out = rows.join(stage_table(best, "component-heads"), "component")  # hot components split likewise
     return out.select("row", "doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("best.doc_id"), F.lit(False)).alias("kept"), (F.col("row") == F.col("best.row")).alias("first_row"))
