@@ -51,7 +51,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     n = len(h)
     mixed = np.zeros(n, np.uint64)
     for i in range(k):
-        mixed[: n - i] += fmix(h[i:] * _ODD[i])
+        mixed[: max(n - i, 0)] += fmix(h[i:] * _ODD[i])
     mixed = fmix(mixed)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):

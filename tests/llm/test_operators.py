@@ -102,6 +102,12 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(frame(spark, [(1, None)])).first()["component_id"] == 1
 
 
+@pytest.mark.parametrize("text", ["a", "a b", "a b c", "a b c d", "a b c d e f", ""])
+def test_shingles_of_one_short_text(text):
+    n = len(text.split())
+    assert len(near_dedup.shingle_sets(pa.array([text]), 5)[0]) == (0 if n == 0 else max(n - 4, 1))
+
+
 def test_word_hashes_follow_words(monkeypatch):
     texts = ["A b\tc", None, "", "é A\x0bÉ", "x" * 3000 + " y", " lead trail "]
     monkeypatch.setattr(textbytes, "SLICE", 64)
