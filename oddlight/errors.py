@@ -56,4 +56,3 @@ AdapterFailure = _kind("AdapterFailure", "INFERENCE_FAILED")
 NotInitialized = _kind("NotInitialized", "INVALID_ARGUMENT")
 Cancelled = _kind("Cancelled", "CANCELLED")
 AlgorithmMismatch = _kind("AlgorithmMismatch", "ALGORITHM_MISMATCH")
-EXPORTED = {k.code: k for k in list(globals().values()) if isinstance(k, type) and issubclass(k, AnomalyError)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgument
 from ..functions import linear, planes
 from ..functions.vectors import clamp01
-from .maps import each_map, morph, smooth_map
+from .maps import morph, smooth_map
 
 REGION = "struct<x:int,y:int,width:int,height:int,max_x:int,max_y:int,area:double,mean_score:double,max_score:double>"
 
@@ -153,7 +153,3 @@ def postprocess(raw: DataFrame, geometry: DataFrame | None, cfg: Config) -> Data
 def region_rows(predictions: DataFrame) -> DataFrame:
     """The flattened regions of predictions, one row each."""
     return predictions.select("image_id", F.inline("regions"))
-
-
-def label_components(masks: DataFrame) -> DataFrame:
-    return each_map(masks, planes.label)

@@ -13,7 +13,6 @@ from .manifest import Input
 
 #: Channels by pixel format.
 CHANNELS = {"GRAY8": 1, "BGR8": 3, "RGB8": 3, "BGRA8": 4, "RGBA8": 4}
-GEOMETRY = "image_id long, original_w int, original_h int, resized_w int, resized_h int, crop_x int, crop_y int, crop_w int, crop_h int"
 _MATRIX = {"linear": linear.resize_matrix, "nearest": linear.nearest_matrix, "area": linear.area_matrix, "cubic": linear.cubic_matrix}
 
 
