@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .shared import drop_table, lean, shuffle_parts, stage_table, tune
 
-#: Distinct digests per index partition (about 2 MB), and documents per lookup task.
-SLOTS, LOOKUPS = 32_768, 65_536
+#: Distinct digests per index partition (about 2 MB), and bounds of the documents per lookup task.
+SLOTS, LOOKUPS, LEAST_LOOKUPS = 32_768, 65_536, 1024
 _LEVELS, _GAMMA = 48, 1.5
 _WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -143,7 +143,8 @@ def _partition(parts: int):
 def lookup(digests: DataFrame, index: DataFrame, parts: int) -> DataFrame:
     """digests with the winner of each member's slot; null for nonmembers."""
     rows = digests.withColumn("p", _partition(parts))
-    load = rows.groupBy("p").count().select("p", F.ceil(F.col("count") / LOOKUPS).cast("int").alias("copies"))  # a row per index partition
+    most = min(LOOKUPS, max(LEAST_LOOKUPS, 4 * digests.count() // parts))  # a few times the mean, so only hot partitions split
+    load = rows.groupBy("p").count().select("p", F.ceil(F.col("count") / most).cast("int").alias("copies"))  # a row per index partition
     rows = rows.join(load, "p").withColumn("salt", F.pmod(F.col("row"), F.col("copies")).cast("int"))
     copies = index.join(load, "p").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     return rows.drop("copies").groupBy("p", "salt").cogroup(copies.groupBy("p", "salt")).applyInArrow(_lookup, _FOUND)
