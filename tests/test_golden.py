@@ -234,3 +234,20 @@ def test_null_map_and_empty_tables(spark):
     null = spark.createDataFrame([(0, 2, 2, None)], maps.MAP)
     assert maps.blur_map(null, 1.0).first()["values"] is None
     assert postprocess.regions(null, null).first()["has_map"] is False
+
+
+def test_selection_by_rank_equals_sorting(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(0, 1, 3000), np.full(2000, 0.25), rng.lognormal(0, 6, 500)])
+    df = spark.createDataFrame([(i % 3, float(x)) for i, x in enumerate(v)] + [(0, None)], "k int, v double").repartition(5)
+    for index in (0, 1, 2700, 5498, 5499):
+        assert calibrate.ordered_value(df, df["v"], index) == np.sort(v)[index]
+    got = {r["k"]: r for r in calibrate.calibrate_groups(df, ["k"], "v", 0.25).collect()}
+    for k in range(3):
+        mine = np.sort(v[k::3])
+        assert got[k]["threshold"] == mine[calibrate.quantile_index(len(mine), 0.25)] and got[k]["n"] == len(mine)
+
+
+def test_binding_renames_and_drops(spark):
+    t = spark.createDataFrame([(0, "x", 1, 1, 1, [1.0]), (0, "other", 1, 1, 1, [2.0])], TENSOR)
+    assert [r["name"] for r in features.bind(t, {"layer": "x"}).collect()] == ["layer"]
