@@ -57,6 +57,7 @@ class Session:
     def __init__(self, spark: SparkSession, package: Package) -> None:
         self.spark, self.package, self.m = spark, package, package.manifest
         self.open, self._net = True, None
+        self.timers = {k: spark.sparkContext.accumulator(0.0) for k in ("preprocess_ms", "network_ms")}
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, algorithm: str | None = None) -> Session:
@@ -73,6 +74,10 @@ class Session:
     def execution_info(self) -> dict:
         return network.execution_info(self.m.runtime)
 
+    def timings(self) -> dict[str, float]:
+        """Milliseconds spent in the kernels of this session's actions so far; a task that is run again counts again."""
+        return {k: v.value for k, v in self.timers.items()}
+
     def release(self) -> None:
         self.open = False
 
@@ -96,7 +101,7 @@ class Session:
     def extract(self, image_rows: DataFrame) -> DataFrame:
         """Semantic tensors of images: preprocessing and network in two map stages, no shuffle."""
         self._check()
-        return network.infer(self.spark, images.preprocess(image_rows, self.m.input), self._model(), self.m.input.tensor, self.m.outputs, self.m.runtime)
+        return network.infer(self.spark, images.preprocess(image_rows, self.m.input, self.timers["preprocess_ms"]), self._model(), self.m.input.tensor, self.m.outputs, self.m.runtime, self.timers["network_ms"])
 
     def score_tensors(self, tensors: DataFrame) -> DataFrame:
         """Raw rows from semantic tensors."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +34,11 @@ def execution_info(runtime: Runtime) -> dict:
     return {"requested": runtime.backend, "used": "onnxruntime", "device": "cpu", "fallback": runtime.backend != "onnxruntime"}
 
 
-def infer(spark: SparkSession, tensors: DataFrame, model: bytes, input_name: str, outputs: dict[str, str], runtime: Runtime) -> DataFrame:
+def infer(spark: SparkSession, tensors: DataFrame, model: bytes, input_name: str, outputs: dict[str, str], runtime: Runtime, timer=None) -> DataFrame:
     """Tensor rows for every output, named by its meaning; images are run in chunks of the largest batch.
 
-    ``outputs`` binds semantic names to output tensors. The model travels as a broadcast.
+    ``outputs`` binds semantic names to output tensors. The model travels as a broadcast. timer is an accumulator of
+    milliseconds spent in the network.
     """
     shared = spark.sparkContext.broadcast(model)
     cfg = {k: getattr(runtime, k) for k in ("graph_optimization", "execution_mode", "intra_op_threads", "inter_op_threads")}
@@ -53,10 +56,13 @@ def infer(spark: SparkSession, tensors: DataFrame, model: bytes, input_name: str
             c, h, w = (b.column(i).to_pylist() for i in (2, 3, 4))
             x = [np.asarray(d.values, np.float32).reshape(i, j, k) for d, i, j, k in zip(b.column(5), c, h, w, strict=True)]
             for at in range(0, len(x), most):
+                began = time.perf_counter()
                 try:
                     got = session.run(list(outputs.values()), {input_name: np.stack(x[at : at + most])})
                 except Exception as e:
                     raise BackendFailure(str(e)) from e
+                if timer is not None:
+                    timer.add(1000 * (time.perf_counter() - began))
                 for name, value in zip(outputs, got, strict=True):
                     planes = [np.asarray(v, float).reshape((1,) * (3 - v.ndim) + v.shape) for v in value]
                     shape = [pa.array([p.shape[i] for p in planes], pa.int32()) for i in range(3)]

@@ -74,6 +74,7 @@ def test_patchcore_package(spark, tmp_path):
     normal = pictures(spark).where("image_id < 5")
     tensors = s.extract(normal)
     assert tensors.count() == 5  # batches of two
+    assert all(v > 0 for v in s.timings().values())
     model = PatchCore.fit(pyramid(tensors, ["layer"]), Grid(2, 2, 2, 2, 0.0), ratio=1.0)
     artifacts.save_bank(model.bank, (root / "bank").as_uri())
     got = {r["image_id"]: r for r in s.predict(pictures(spark)).collect()}
