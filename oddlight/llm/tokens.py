@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from .textbytes import SLICE, SPACED, SPACED_VALUES, _powers, fmix, text_bytes
 
 #: Slots of the unit table of a worker (half are used; a full table starts anew, which costs time only).
-TABLE = 1 << 20
+TABLE = 1 << 21
 _EXACT_VALUES = np.random.default_rng(77).integers(0, 2**64, 256, dtype=np.uint64)
 _MARKS = b".,;:!?|"
 _IS_MARK = np.isin(np.arange(256), list(_MARKS))
