@@ -34,9 +34,11 @@ def payload_digest(payload: bytes) -> str:
 
 
 def record_id(page: int | None, row: int, kind: str) -> str:
-    """A version-8 UUID that holds the page id (or, for a null id, the row number) and the kind of record."""
-    n = (page if page is not None else row) & (2**64 - 1)
-    bits = (n >> 16) << 80 | 8 << 76 | (n >> 4 & 0xFFF) << 64 | 2 << 62 | (n & 15) << 58 | (page is None) << 8 | _KINDS.index(kind)
+    """A version-8 UUID that holds the page id (zero, with a mark, for a null id), the row number and the kind of record."""
+    if not 0 <= row < 1 << 55:
+        raise ValueError(f"row number {row} does not fit in a record id")
+    n = (page or 0) & (2**64 - 1)
+    bits = (n >> 16) << 80 | 8 << 76 | (n >> 4 & 0xFFF) << 64 | 2 << 62 | (n & 15) << 58 | row << 3 | (page is None) << 2 | _KINDS.index(kind)
     return f"<urn:uuid:{uuid.UUID(int=bits)}>"
 
 
@@ -45,7 +47,7 @@ def page_of(identifier: str | None) -> int | None:
     if not identifier:
         return None
     bits = int(identifier[10:-1].replace("-", ""), 16)
-    if bits >> 8 & 1:
+    if bits >> 2 & 1:
         return None
     n = (bits >> 80) << 16 | (bits >> 64 & 0xFFF) << 4 | (bits >> 58 & 15)
     return n - 2**64 if n >> 63 else n
@@ -55,7 +57,8 @@ def page_of_column(identifier: Column) -> Column:
     """page_of as a column expression: the id's bits are the UUID's first 12 hex digits, then 3, then 1."""
     digits = F.regexp_replace(F.substring(identifier, 11, 36), "-", "")
     bits = F.concat(F.substring(digits, 1, 12), F.substring(digits, 14, 3), F.lower(F.hex(F.shiftright(F.conv(F.substring(digits, 17, 2), 16, 10).cast("int"), 2).bitwiseAND(15))))
-    return F.when(F.substring(digits, 30, 1) == "0", F.conv(bits, 16, -10).cast("long"))
+    null = F.conv(F.substring(digits, 32, 1), 16, 10).cast("int").bitwiseAND(4) != 0
+    return F.when(~null, F.conv(bits, 16, -10).cast("long"))
 
 
 def record(kind: str, identifier: str, url: str, block: bytes, content_type: str, **more: str) -> bytes:
@@ -81,7 +84,7 @@ def _records(batches):
         out, members = [], []
         for page, url, html, digest, row, first, first_row, first_url in zip(*(c.to_pylist() for c in (b.column(0), b.column(1), b.column(2).cast(pa.binary()), *b.columns[3:])), strict=True):
             html, url = html or b"", _clean_url(url)
-            kind = "response" if row == first_row else "revisit"
+            kind = "response" if row == first_row or (page is not None and page == first) else "revisit"
             own = record_id(page, row, kind)
             http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html)
             path = re.sub(r"^[a-z]+://[^/]*", "", url) or "/"
@@ -100,8 +103,9 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_
     """Write the archives of a table of pages.
 
     Of pages with equal payloads of at least ``least`` bytes the one with the smallest id (null ids last, then the
-    first row) is a response and the others revisit it; smaller payloads are all responses. A null html is an empty
-    payload, a null url about:blank.
+    first row) is a response and the others revisit it; smaller payloads are all responses. Every row is a capture of
+    its own: rows that repeat a page id keep their records apart by the row number in the record ids, and rows that
+    repeat the response's id with its payload are responses too. A null html is an empty payload, a null url about:blank.
     """
     spark = pages.sparkSession
     tune(spark)

@@ -360,6 +360,19 @@ def test_small_payloads_are_never_revisits(spark):
     assert warc.assemble(warc.read_warc(spark, path)).count() == 0
 
 
+def test_warc_repeated_page_ids(spark):
+    rows = [(1, "http://a/1", "x"), (1, "http://a/1", "y"), (1, "http://a/1", "x"), (2, "http://a/2", "x"), (None, "http://a/n", "x"), (None, "http://a/n", "z")]
+    path = work_path(spark, "test-warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    records = warc.read_warc(spark, path)
+    assert records.select("record_id").distinct().count() == 3 * len(rows)
+    got = warc.assemble(records).withColumn("page", warc.page_of_column(F.col("capture.record_id"))).withColumn("refers", warc.page_of_column(F.col("capture.refers_to"))).collect()
+    assert all(r["request"] and r["metadata"] and r["page"] == warc.page_of(r["capture"]["record_id"]) for r in got)
+    digest = {warc.payload_digest(h.encode()): h for _, _, h in rows}
+    seen = sorted((str(r["page"]), digest[r["capture"]["payload_digest"]], r["capture"]["type"], r["refers"]) for r in got)
+    assert seen == [("1", "x", "response", None), ("1", "x", "response", None), ("1", "y", "response", None), ("2", "x", "revisit", 1), ("None", "x", "revisit", 1), ("None", "z", "response", None)]
+
+
 # ---- language model ----------------------------------------------------------------------------------------------
 
 
