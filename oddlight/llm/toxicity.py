@@ -1,14 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their first four and five bytes. Over the labelled examples, the terms that mark toxic texts beyond
-chance form the vocabulary, and every example becomes a TF-IDF vector of unit length over it. The index keeps, for each
+Terms are words and their first four and five bytes. The terms of the examples that mark toxic texts beyond chance, by
+their counts over all labelled rows, form the vocabulary, and every example becomes a TF-IDF vector of unit length over
+it. For labels of a given balance the number of toxic rows that makes a term a mark is the same at any size of the data. The index keeps, for each
 term, its postings in blocks of neighbouring examples with the block's largest weight. A query bounds every block by
 these maxima, scores blocks from the highest bound down, and stops where no block can reach the k-th best cosine, so
 the neighbours are exact. Votes weighted by cosine are turned into probabilities by an isotonic map fitted on
 leave-one-out votes of the examples; the neighbours are returned as evidence.
 
 The examples are a bounded sample of labelled rows (``max_examples`` of each label, by hash order, re-weighted to the
-label's share over all rows), so vocabulary and index are of bounded size and can be broadcast. Every document is
+label's share over all rows); all terms are theirs, so vocabulary and index are of bounded size and can be broadcast. Every document is
 scored over its whole text by a map over the scan.
 """
 
@@ -26,9 +27,11 @@ from .near_dedup import shingle_sets
 from .shared import drop_table, lean, stage_table, tune
 from .textbytes import alnum_words
 
-#: Labelled rows of each label that examples are drawn from, vocabulary terms, and neighbours that vote.
-MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS = 8192, 65_536, 25
-#: A term counts as a mark if its log odds are so many standard errors above zero, so large, and in so many examples.
+#: Labelled rows of each label that examples are drawn from, neighbours that vote, and terms counted by a task before it
+#: passes them on.
+MAX_EXAMPLES, NEIGHBOURS, HELD = 8192, 25, 1 << 18
+#: A term counts as a mark if its log odds over all labelled rows are so many standard errors above zero, so large, and
+#: in so many rows.
 MIN_Z, MIN_LIFT, MIN_DF = 3.0, 1.0, 3
 BLOCK = 64
 
@@ -46,10 +49,30 @@ def terms_of(text: str | None) -> Counter:
 
 
 def _signatures(batches):
-    """(id, label, signature): the two least hashes of a text's three-word shingles, which near copies mostly share."""
+    """(id, signature): the two least hashes of a text's three-word shingles, which near copies mostly share."""
     for b in batches:
-        sig = [s[:2].tobytes() for s in shingle_sets(b.column(2), 3)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary())], ["id", "label", "sig"])
+        sig = [s[:2].tobytes() for s in shingle_sets(b.column(1), 3)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.binary())], ["id", "sig"])
+
+
+def _term_rows(batches):
+    """(term, rows, toxic rows) of a task, passed on whenever HELD distinct terms are held."""
+    clean, toxic = Counter(), Counter()
+    for b in batches:
+        for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            (toxic if y else clean).update(terms_of(t).keys())
+            if len(clean) + len(toxic) > HELD:
+                yield from _term_batches(clean, toxic)
+                clean, toxic = Counter(), Counter()
+    yield from _term_batches(clean, toxic)
+
+
+def _term_batches(clean: Counter, toxic: Counter):
+    terms = list(clean.keys() | toxic.keys())
+    for at in range(0, len(terms), 65_536):
+        part = terms[at : at + 65_536]
+        n1 = [toxic[t] for t in part]
+        yield pa.record_batch([pa.array(part, pa.binary()), pa.array([clean[t] + n for t, n in zip(part, n1, strict=True)], pa.int64()), pa.array(n1, pa.int64())], ["term", "n", "n1"])
 
 
 def _example_terms(batches):
@@ -206,21 +229,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = [clean.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(max_examples) for y in (0, 1)]
     sample = stage_table(chosen[0].unionByName(chosen[1]), "examples")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = texts.join(F.broadcast(sample), "id").select("id", "label", "text")  # at most 2 * max_examples rows are broadcast
-    # of near copies with one label a single example counts, or one much-copied text would set the vocabulary
-    single = signed.mapInArrow(lean(_signatures), "id long, label int, sig binary").groupBy("label", "sig").agg(F.min("id").alias("id"))
-    sample = stage_table(single.select("id", "label"), "single-examples")
-    texts = texts.join(F.broadcast(sample), "id").select("id", "label", "text")
-    long = stage_table(texts.mapInArrow(lean(_example_terms), "id long, label int, term binary, tf long"), "example-terms")
-    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # of near copies with one label a single row counts, or one much-copied text would set the vocabulary
+    signed = texts.where("id is not null").mapInArrow(lean(_signatures), "id long, sig binary").join(clean.distinct(), "id")
+    signed = stage_table(signed, "signatures")
+    single = stage_table(signed.groupBy("label", "sig").agg(F.min("id").alias("id")).select("id", "label"), "single-rows")
+    n = {r["label"]: r["n"] for r in single.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = max(n.get(0, 0), 1), max(n.get(1, 0), 1)
-    one = F.sum(F.col("label")).alias("df1")
-    terms = long.groupBy("term").agg(one, F.count(F.lit(1)).alias("df")).where(F.col("df") >= MIN_DF)
-    a, b = F.col("df1") + 0.5, F.col("df") - F.col("df1") + 0.5
+    counted = texts.join(single, "id").select("id", "label", "text").mapInArrow(lean(_term_rows), "term binary, n long, n1 long")
+    # at most 2 * max_examples rows are broadcast
+    sample = signed.join(F.broadcast(sample.distinct()), ["id", "label"]).groupBy("label", "sig").agg(F.min("id").alias("id"))
+    sample = stage_table(sample.select("id", "label"), "single-examples")
+    long = stage_table(texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(lean(_example_terms), "id long, label int, term binary, tf long"), "example-terms")
+    a, b = F.col("n1") + 0.5, F.col("n") - F.col("n1") + 0.5
     odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
     error = F.sqrt(1 / a + 1 / b + 1 / (n1 + 1 - a) + 1 / (n0 + 1 - b))
-    marks = terms.withColumn("z", odds / error).where((F.col("z") >= MIN_Z) & (odds >= MIN_LIFT)).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    marks = marks.select("term", "df").toArrow()  # at most MAX_TERMS rows
+    terms = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n") >= MIN_DF)
+    terms = terms.where((odds / error >= MIN_Z) & (odds >= MIN_LIFT))
+    marks = long.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms, "term").select("term", "df").orderBy("term").toArrow()  # terms of the examples
     vocabulary = marks["term"].to_pylist()
     place = spark.createDataFrame([(t, i) for i, t in enumerate(vocabulary)], "term binary, place int")
     hits = long.join(F.broadcast(place), "term").groupBy("id", "label").agg(F.collect_list(F.struct("place", "tf")).alias("x"))
@@ -232,7 +257,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows += [(r["id"], r["label"], none, none) for r in sample.collect() if (r["id"], r["label"]) not in have]
     rows.sort(key=lambda r: r[:2])
     drop_table(long)
-    weight = (total.get(0, 0) / n0, total.get(1, 0) / n1)
+    drop_table(signed)
+    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = (total.get(0, 0) / max(n.get(0, 0), 1), total.get(1, 0) / max(n.get(1, 0), 1))
     return NeighbourModel(vocabulary, np.asarray(marks["df"], float), rows, weight, k)
 
 

@@ -455,6 +455,17 @@ def test_toxicity(spark):
     assert toxicity.score(docs, none, ["doc_id"]).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_rare_marks_whatever_the_sample(spark):
+    # a word in 6 of 100 toxic and none of 1100 clean rows: equal samples of 100 alone don't tell it from chance
+    rows = [(i, prose(i, 60, 3000) + (" zorgle" if i < 6 else " scumbag idiotic" if i < 100 else "")) for i in range(1200)]
+    docs = frame(spark, [*rows, (5000, "zorgle"), (5001, prose(5001, 60, 3000) + " zorgle")])
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(1200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_examples=100)
+    got = {r["doc_id"]: r for r in toxicity.score(docs.where("doc_id >= 5000"), model, ["doc_id"]).collect()}
+    assert b"zorgle" in model.place and got[5000]["evidence"] and all(e["toxic"] == 1 for e in got[5000]["evidence"])
+    assert min(r["score"] for r in got.values()) > 0.8
+
+
 def test_isotonic_is_monotone():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert (np.diff(y) >= 0).all() and y.tolist() == [0, 0.5, 1] and json.dumps(x.tolist())
