@@ -10,7 +10,7 @@ pass is a map over the scan.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -221,10 +221,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, min_span:
     spark = docs.sparkSession
     tune(spark)
     columns = docs.columns
-    out = docs.withColumn("_cut", F.lit(False))
-    for block in _blocks(items, item_col, item_text):
-        shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+    blocks = _blocks(items, item_col, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        out = docs.withColumn("_cut", F.lit(False))
+        shared = spark.sparkContext.broadcast(SuffixAutomaton(first, window))
         out = out.mapInArrow(lean(_clean(shared, out.columns.index(text_col), min_span, max_coverage)), out.schema)
+    else:
+        out = _clean_by_blocks(docs, lambda: _blocks(items, item_col, item_text), window, min_span, max_coverage, text_col)
     if length_col in columns:
         fresh = F.char_length(F.col(text_col)).cast(docs.schema[length_col].dataType)
         out = out.withColumn(length_col, F.when(F.col("_cut"), fresh).otherwise(F.col(length_col)))
@@ -254,3 +258,44 @@ def _clean(shared, at: int, min_span: int, max_coverage: float):
     return run
 
 
+def _clean_by_blocks(docs: DataFrame, blocks: Callable[[], Iterator], window: int, min_span: int, max_coverage: float, text_col: str) -> DataFrame:
+    """docs with _cut as _clean leaves them, for items of several blocks: each round's spans are the union over all blocks."""
+    spark = docs.sparkSession
+    rows = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    texts = rows.select("_row", F.col(f"`{text_col}`").cast("string").alias("_text"))
+    done, limit = None, max_coverage
+    while True:
+        hits = None
+        for block in blocks():
+            shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+            found = texts.mapInArrow(lean(_scan(shared)), f"_row long, _text string, {_HITS}").where(F.size("starts") > 0).select("_row", "n_words", "starts", "ends")
+            found = stage_table(found, "hits")
+            hits = found if hits is None else hits.unionByName(found)
+            shared.unpersist()
+        hits = hits.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+        fresh = hits.join(texts, "_row").select("_row", "n_words", "starts", "ends", "_text").mapInArrow(lean(_cut_union(min_span, limit)), "_row long, _gone boolean, _text string")
+        fresh = stage_table(fresh, "cut-texts")
+        done = fresh if done is None else done.join(fresh.select("_row"), "_row", "left_anti").unionByName(fresh)
+        texts, limit = fresh.where("not _gone").select("_row", "_text"), None  # a cut may join the ends of another passage
+        if texts.isEmpty():
+            break
+    out = rows.join(done, "_row", "left").where("_gone is null or not _gone").withColumn("_cut", F.col("_gone").isNotNull())
+    kind = docs.schema[text_col].dataType
+    return out.withColumn(text_col, F.when(F.col("_cut"), F.col("_text").cast(kind)).otherwise(F.col(f"`{text_col}`")))
+
+
+def _cut_union(min_span: int, max_coverage: float | None):
+    """(row, gone, text) of the rows that go, by coverage where a limit is given, or that lose spans."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for row, n, a, z, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                spans = merge_spans(list(zip(a, z, strict=True)))
+                if max_coverage is not None and sum(y - x for x, y in spans) > max_coverage * n:
+                    out.append((row, True, None))
+                elif spans := [s for s in spans if s[1] - s[0] >= min_span]:
+                    out.append((row, False, _without(text, spans)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.bool_(), pa.string()))], ["_row", "_gone", "_text"])
+
+    return run

@@ -296,6 +296,21 @@ def test_decontaminate_text(spark):
     assert decontamination.decontaminate(docs, items.limit(0)).count() == 5
 
 
+def test_decontaminate_over_several_blocks(spark, monkeypatch):
+    a, b = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]
+    rest = [f"w{i}" for i in range(16)]
+    joined = b[:6] + a + b[6:]  # cutting a joins b
+    docs = spark.createDataFrame([(1, " ".join(a + b + rest), 0), (2, " ".join(rest + a + rest), 0), (3, " ".join(rest + joined + rest), 0), (4, None, 5), (2, " ".join(rest), 9)], "doc_id long, text string, n_chars int")
+    items = spark.createDataFrame([("a", " ".join(a)), ("b", " ".join(b))], "item_id string, text string").coalesce(1)
+    got = []
+    for block in (200_000, 12):
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+        got.append(sorted(map(str, decontamination.decontaminate(docs, items).collect())))
+        got.append(sorted(map(str, decontamination.decontaminate(docs, items.orderBy(F.desc("item_id"))).collect())))
+    assert got[0] == got[1] == got[2] == got[3]
+    assert len(got[0]) == 4 and not any("doc_id=1," in r or "b0" in r for r in got[0])
+
+
 # ---- language ----------------------------------------------------------------------------------------------------
 
 
