@@ -24,11 +24,11 @@ def binary_pieces(tokens: int, longest: int) -> list[int]:
     return [longest] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _pieces(path: str, end: int, longest: int):
+def _pieces(path: str, end: int, longest: int, plain_specials: bool):
     def run(batches):
         from .tokens import encoder, with_end
 
-        encode, task, seen = encoder(path).encode, TaskContext.get().partitionId(), {}
+        encode, task, seen = encoder(path, plain_specials).encode, TaskContext.get().partitionId(), {}
         for b in batches:
             ids, offsets = with_end(*encode(b.column(1)), end)
             src, length, local = [], [], []
@@ -46,11 +46,12 @@ def _pieces(path: str, end: int, longest: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096, id_col: str = "doc_id", text_col: str = "text", plain_specials: bool = False) -> DataFrame:
     """Per piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Null text counts as empty: such a document is its end id alone. longest must be a power of two. Sequence ids are
-    gapless, longest bucket first. Repeated rows are packed each on their own; an empty table gives no piece.
+    gapless, longest bucket first. The string of a special token in a text gives that token, as the library does by
+    default; with plain_specials it is ordinary text. Repeated rows are packed each on their own; an empty table gives no piece.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -58,7 +59,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096,
     tune(spark)
     cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = cols.schema["doc_id"].dataType.simpleString()
-    pieces = stage_table(cols.mapInArrow(lean(_pieces(tokenizer, end_id, longest)), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, task long, local long"), "pieces")
+    pieces = stage_table(cols.mapInArrow(lean(_pieces(tokenizer, end_id, longest, plain_specials)), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, task long, local long"), "pieces")
     counts = {(-r["length"], r["task"]): r["n"] for r in pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")).collect()}
     at = prefix_offsets(counts, sorted(counts))
     offsets = spark.createDataFrame([(-n, t, first) for (n, t), first in at.items()], "length long, task long, first long")

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from .shared import lean, prefix_offsets, shuffle_parts, stage_table, tune
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, plain_specials: bool):
     def run(batches):
         from .tokens import encoder, with_end
 
-        encode, part, pos = encoder(path).encode, TaskContext.get().partitionId(), 0
+        encode, part, pos = encoder(path, plain_specials).encode, TaskContext.get().partitionId(), 0
         for b in batches:
             ids, offsets = with_end(*encode(b.column(1)), end)
             n = b.num_rows
@@ -32,16 +32,18 @@ def _encode(path: str, end: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", plain_specials: bool = False) -> None:
     """Encode whole texts (null: empty), append end_id to each, and write ORC files in ascending doc_id order.
 
     Columns: doc_id, part (number of the range), pos (place in it), ids. Equal ids stay neighbours; null ids come first.
+    The string of a special token in a text gives that token, as the library does by default; with plain_specials it is
+    ordinary text.
     """
     spark = docs.sparkSession
     tune(spark)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = cols.repartitionByRange(parts or shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id")
-    coded = ordered.mapInArrow(lean(_encode(tokenizer, end_id)), "doc_id long, part int, pos long, ids array<int>")
+    coded = ordered.mapInArrow(lean(_encode(tokenizer, end_id, plain_specials)), "doc_id long, part int, pos long, ids array<int>")
     coded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(16 << 20)).orc(path)
 
 

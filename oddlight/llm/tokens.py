@@ -4,7 +4,7 @@ A text is cut where the model's own pre-tokenisation always cuts: before the one
 to a word, at white space for a model that drops it, and between an ASCII letter and one closing mark. The ids of the
 units, joined, are the ids of the text. Units are found by a 64-bit hash in an open-addressing table held in arrays, so
 whole batches are looked up at once; only units not seen before reach the library, many in one call. A text that holds
-white space other than the six ASCII characters goes to the library whole.
+white space other than the six ASCII characters, or the string of an added token, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -23,21 +23,27 @@ _EXACT_VALUES = np.random.default_rng(77).integers(0, 2**64, 256, dtype=np.uint6
 _MARKS = b".,;:!?|"
 _IS_MARK = np.isin(np.arange(256), list(_MARKS))
 _IS_LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
-_OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_OTHER_SPACE = "[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 _MAYBE_OTHER = np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
 _AFTER_SPACE = np.uint64(0xD6E8FEB86659FD93)
-_models: dict[str, "UnitEncoder"] = {}
+_models: dict[tuple[str, bool], "UnitEncoder"] = {}
 
 
 class UnitEncoder:
-    """encode(array of texts) gives (ids as uint32, offsets by text), without special tokens; null counts as empty.
+    """encode(array of texts) gives (ids as uint32, offsets by text); null counts as empty.
 
-    ``encode_special_tokens`` is set, so the strings of special tokens in a text are ordinary text.
+    The ids are those of the library on the file with add_special_tokens=False: nothing is put around a text, and the
+    string of a special token inside it gives that token. With ``plain_specials`` such strings are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain_specials: bool = False) -> None:
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = plain_specials
+        added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_OTHER_SPACE, *(f"(?i:{re.escape(t)})" for t in added)]))
+        self.maybe_whole = _MAYBE_OTHER.copy()  # bytes that such white space or an added token may begin with
+        for t in added:
+            self.maybe_whole[[x.encode()[0] for x in (t[0], t[0].lower(), t[0].upper())]] = True
         self.spaces_kept = self.model.normalizer is None
         vocabulary = self.model.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin (byte-level) or end a word
@@ -204,9 +210,9 @@ class UnitEncoder:
         data, offsets = text_bytes(texts)
         whole = np.zeros(len(texts), bool)  # texts for the library
         if len(data):
-            maybe = np.unique(np.searchsorted(offsets, np.flatnonzero(_MAYBE_OTHER[data]), "right") - 1)
+            maybe = np.unique(np.searchsorted(offsets, np.flatnonzero(self.maybe_whole[data]), "right") - 1)
             for t in maybe.tolist():
-                whole[t] = bool(_OTHER_SPACE.search(data[offsets[t] : offsets[t + 1]].tobytes().decode()))
+                whole[t] = bool(self.whole.search(data[offsets[t] : offsets[t + 1]].tobytes().decode()))
         parts, counts = [], np.zeros(len(texts), np.int64)
         t = 0
         while t < len(texts):
@@ -248,8 +254,8 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
     return np.insert(ids, offsets[1:], np.uint32(end)), offsets + np.arange(len(offsets))
 
 
-def encoder(path: str) -> UnitEncoder:
-    """One encoder per worker process and file."""
-    if path not in _models:
-        _models[path] = UnitEncoder(path)
-    return _models[path]
+def encoder(path: str, plain_specials: bool = False) -> UnitEncoder:
+    """One encoder per worker process, file and treatment of special tokens."""
+    if (path, plain_specials) not in _models:
+        _models[path, plain_specials] = UnitEncoder(path, plain_specials)
+    return _models[path, plain_specials]

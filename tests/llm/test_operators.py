@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from oddlight.llm import decontamination, exact_dedup, language_id, lm_scoring, near_dedup, packing, sharding, textbytes, token_orc, tokens, toxicity, warc
 from oddlight.llm.shared import work_path
@@ -154,7 +155,7 @@ def test_perfect_hash_is_minimal_and_byte_checked():
 
 # ---- tokens, packing, token files --------------------------------------------------------------------------------
 
-ODD = ["", None, " ", "  a", "a  b", "a b ", "don't stop. A b c", "\n\n a \n\tb\t c\n", "a\xa0 \xa0b", "é. à! b|", "l'été d'or. 'tis", "x\x1cy z", "İI. ΣΑΣ.", "1234. 5,6", "<|endoftext|> x"]
+ODD = ["", None, " ", "  a", "a  b", "a b ", "don't stop. A b c", "\n\n a \n\tb\t c\n", "a\xa0 \xa0b", "é. à! b|", "l'été d'or. 'tis", "x\x1cy z", "İI. ΣΑΣ.", "1234. 5,6", "<|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|>", "<|STARTOFTEXT|> y. <|startoftext|>", "<|endoftext <||"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -163,23 +164,27 @@ def test_unit_tokens_equal_whole_texts(monkeypatch, name, size):
     monkeypatch.setattr(tokens, "SLICE", size)
     rng = random.Random(4)
     texts = [*ODD, prose(1, 500), *("".join(rng.choice("ab Z.,' \n\t1é|!?s’ ") for _ in range(rng.randint(0, 50))) for _ in range(500))]
-    e = tokens.UnitEncoder(public_tokenizers.path(name))
-    ids, at = e.encode(pa.array(texts))
-    for i, t in enumerate(texts):
-        assert ids[at[i] : at[i + 1]].tolist() == e.model.encode(t or "", add_special_tokens=False).ids, t
+    for plain in (False, True):
+        model = Tokenizer.from_file(public_tokenizers.path(name))
+        if plain:
+            model.encode_special_tokens = True
+        ids, at = tokens.UnitEncoder(public_tokenizers.path(name), plain).encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == model.encode(t or "", add_special_tokens=False).ids, t
 
 
 def test_full_unit_table_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "TABLE", 1 << 10)
-    e = tokens.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, model = tokens.UnitEncoder(path), Tokenizer.from_file(path)
     for s in range(8):
         t = prose(s, 300, 10**6)
-        assert e.encode(pa.array([t]))[0].tolist() == e.model.encode(t, add_special_tokens=False).ids
+        assert e.encode(pa.array([t]))[0].tolist() == model.encode(t, add_special_tokens=False).ids
 
 
 def test_packing_round_trip(spark, corpus):
     path = public_tokenizers.path("word_bpe_49k.json")
-    model = tokens.UnitEncoder(path).model
+    model, corpus = Tokenizer.from_file(path), [*corpus, (701, "a <|endoftext|> b")]
     got = packing.pack(frame(spark, corpus), path, longest=64).collect()
     assert sorted(r["sequence_id"] for r in got) == list(range(len(got)))
     assert all(r["length"] & (r["length"] - 1) == 0 and r["length"] <= 64 and r["offset"] == 0 and 4 * r["length"] == len(r["ids"]) for r in got)
@@ -202,7 +207,7 @@ def test_packing_round_trip(spark, corpus):
 
 def test_token_files(spark, corpus):
     name = public_tokenizers.path("byte_bpe_50k.json")
-    model, path = tokens.UnitEncoder(name).model, work_path(spark, "test-orc")
+    model, path, corpus = Tokenizer.from_file(name), work_path(spark, "test-orc"), [*corpus, (701, "a<|endoftext|>b")]
     token_orc.write_tokens(frame(spark, corpus), path, name, parts=3)
     got = token_orc.token_summary(spark, path).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((i for i, _ in corpus), key=lambda i: (i is not None, i))
