@@ -13,7 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch (whole texts travel, so far fewer than the default of 10000), and bytes of text in one.
@@ -58,12 +58,32 @@ def lean(kernel):
     return run
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with the columns c0, c1, ...: mapInArrow takes no names with dots or backticks."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def free_name(base: str, columns: list[str]) -> str:
+    """base, or base with underscores, so that it differs from all columns in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where the cluster names none (as in tests)."""
+    """The folder that the cluster shares; one of our own only where the cluster names none and is one machine (as in tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.oddlight.workdir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="oddlight-")
             spark.conf.set("spark.oddlight.workdir", root)
     return root.rstrip("/")

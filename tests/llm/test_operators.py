@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -333,6 +334,48 @@ def test_language_id(spark):
     assert language_id.identify(test, {}, ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def plain_grams(text):
+    """N-gram counts by the definition: fold, collapse, pad, count every window."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    raw = re.sub(rb"\xc3([\x80-\x96\x98-\x9e])", lambda m: b"\xc3" + bytes([m[1][0] + 32]), raw)
+    raw = b" " + b" ".join(raw.split(b" ")) + b" "
+    raw = re.sub(rb" +", b" ", raw)
+    return Counter(raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1) if raw[i : i + n] != b" ")
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 1 << 20])
+def test_gram_counts_for_any_piece(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    rng = random.Random(8)
+    for text in ["", " ", "a", "  Ab ", "É!ÀÉ Ü×ü", "日本 語", *("".join(rng.choice("aB É×. é日") for _ in range(rng.randint(0, 40))) for _ in range(60))]:
+        codes, counts = language_id.gram_counts(np.frombuffer(text.encode(), np.uint8))
+        got = {(int(c) & (1 << 8 * (1 + (int(c) >> 24))) - 1).to_bytes(1 + (int(c) >> 24), "big"): int(n) for c, n in zip(codes, counts, strict=True)}
+        assert got == plain_grams(text), text
+
+
+def test_profiles_for_any_piece(spark, monkeypatch):
+    rows = [(i, prose(i, 50) + " ÉÀ", "aa" if i % 2 else "bb") for i in range(20)]
+    want = {lang: sum((plain_grams(t) for _, t, x in rows if x == lang), Counter()) for lang in ("aa", "bb")}
+    monkeypatch.setattr(language_id, "HELD", 100)
+    monkeypatch.setattr(language_id, "PIECE", 13)
+    batch = pa.record_batch([pa.array([x for _, _, x in rows]), pa.array([t for _, t, _ in rows])], ["lang", "text"])
+    got = defaultdict(dict)
+    for lang, gram, n in (r for b in language_id._profile_counts([batch]) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+        size = 1 + (gram >> 24)
+        got[lang][(gram & (1 << 8 * size) - 1).to_bytes(size, "big")] = n
+    assert got == want
+
+
+def test_language_columns_may_clash(spark):
+    rows = [(i, "la mo ri", "aa", "x", 1, "y", "z") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `lang_pred` string, `_text` string, Score int, `a``b` string, `c.d` string")
+    got = language_id.identify(docs, {"aa": [1, 2]}, docs.columns)
+    assert got.columns == ["doc_id", "text", "_text", "a`b", "c.d", "lang_pred", "score"]
+    assert {tuple(r)[2:6] for r in got.collect()} == {("x", "y", "z", "aa")}
+    got = language_id.identify(docs, {"aa": [1, 2]}, docs.columns, pred_col="p", score_col="s")
+    assert got.columns == [*docs.columns, "p", "s"] and got.count() == 3
+
+
 def test_out_of_place_distance_by_hand():
     p = language_id.Profiles({"x": [10, 20, 30]}, 3)
     own = np.array([10, 40], np.uint32)
