@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, stage_table, tune
+from .shared import lean, numbered, stage_table, tune
 from .textbytes import alnum_words
 
 #: Item words in one automaton (about 150 MB in a worker at most).
@@ -184,21 +185,24 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     tune(spark)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    passes = []
-    for block in _blocks(items, item_col, item_text):
+    blocks = _blocks(items, item_col, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        shared = spark.sparkContext.broadcast(SuffixAutomaton(first, window))
+        return base.mapInArrow(lean(_scan(shared)), f"doc_id {kind}, text string, {_HITS}").drop("text")
+    # every pass reads the same written rows, so that row numbers agree whatever the input's plan
+    texts = stage_table(base.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), "rows")
+    rows = None
+    for block in chain([first, second], blocks):
         shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        passes.append(base.mapInArrow(lean(_scan(shared)), f"doc_id {kind}, text string, {_HITS}").drop("text"))
-    if len(passes) == 1:
-        return passes[0]
-    return _merged(docs, passes, kind)
+        found = stage_table(texts.mapInArrow(lean(_scan(shared)), f"row long, doc_id {kind}, text string, {_HITS}").drop("text"), "hits")
+        rows = found if rows is None else rows.unionByName(found)
+        shared.unpersist()
+    return _merged(rows, kind)
 
 
-def _merged(docs: DataFrame, passes: list[DataFrame], kind: str) -> DataFrame:
-    """The union of the spans of several passes, by the row's place in the scan."""
-    rows = None
-    for p in passes:
-        p = stage_table(p.withColumn("row", F.monotonically_increasing_id()), "hits")
-        rows = p if rows is None else rows.unionByName(p)
+def _merged(rows: DataFrame, kind: str) -> DataFrame:
+    """The union of the spans of several passes, by row."""
     one = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def run(batches):
@@ -212,7 +216,7 @@ def _merged(docs: DataFrame, passes: list[DataFrame], kind: str) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, min_span: int = 1, max_coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs without benchmark passages, with the same columns.
+    """docs without benchmark passages, with the same columns, whatever their names.
 
     Spans of at least min_span hit words are cut out of the text (and length_col, where it exists, is set to the new
     number of characters); a document of whose words more than max_coverage are hit goes altogether. Documents without
@@ -221,18 +225,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, min_span:
     spark = docs.sparkSession
     tune(spark)
     columns = docs.columns
+    plain = numbered(docs)
+    text = plain.columns[columns.index(text_col)]
     blocks = _blocks(items, item_col, item_text)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        out = docs.withColumn("_cut", F.lit(False))
+        marked = plain.withColumn("_cut", F.lit(False))
         shared = spark.sparkContext.broadcast(SuffixAutomaton(first, window))
-        out = out.mapInArrow(lean(_clean(shared, out.columns.index(text_col), min_span, max_coverage)), out.schema)
+        out = marked.mapInArrow(lean(_clean(shared, columns.index(text_col), min_span, max_coverage)), marked.schema)
     else:
-        out = _clean_by_blocks(docs, lambda: _blocks(items, item_col, item_text), window, min_span, max_coverage, text_col)
+        out = _clean_by_blocks(plain, lambda: _blocks(items, item_col, item_text), window, min_span, max_coverage, text)
     if length_col in columns:
-        fresh = F.char_length(F.col(text_col)).cast(docs.schema[length_col].dataType)
-        out = out.withColumn(length_col, F.when(F.col("_cut"), fresh).otherwise(F.col(length_col)))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+        length = plain.columns[columns.index(length_col)]
+        fresh = F.char_length(F.col(text)).cast(plain.schema[length].dataType)
+        out = out.withColumn(length, F.when(F.col("_cut"), fresh).otherwise(F.col(length)))
+    return out.select(*plain.columns).toDF(*columns)
 
 
 def _clean(shared, at: int, min_span: int, max_coverage: float):

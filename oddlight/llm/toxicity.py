@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .near_dedup import shingle_sets
-from .shared import drop_table, lean, stage_table, tune
+from .shared import drop_table, lean, numbered, quoted, stage_table, tune
 from .textbytes import alnum_words
 
 #: Labelled rows of each label that examples are drawn from, neighbours that vote, and terms counted by a task before it
@@ -263,20 +264,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return NeighbourModel(vocabulary, np.asarray(marks["df"], float), rows, weight, k)
 
 
-_SCORED = "score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>"
+_EVIDENCE = ArrayType(StructType().add("doc_id", "long").add("cosine", "double").add("toxic", "integer"))
 
 
-def score(docs: DataFrame, model: NeighbourModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns with score (0 to 1) and evidence (up to five nearest examples).
+def score(docs: DataFrame, model: NeighbourModel, keep: list[str], text_col: str = "text", score_col: str = "score", evidence_col: str = "evidence") -> DataFrame:
+    """The ``keep`` columns with score (0 to 1) and evidence (up to five nearest examples), or these two as named.
 
     A text without any vocabulary term, so every null or empty one, gets the toxic share of such examples and no
-    evidence. Without examples every score is 0. Repeated rows are scored each; an empty table gives no rows.
+    evidence. Without examples every score is 0. Repeated rows are scored each; an empty table gives no rows. A kept
+    column with the name of a result is left out.
     """
     spark = docs.sparkSession
     tune(spark)
     shared = spark.sparkContext.broadcast(model)
-    cols = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1])
+    keep = [c for c in keep if c.lower() not in (score_col.lower(), evidence_col.lower())]
+    cols = numbered(docs.select(*[quoted(c) for c in keep], quoted(text_col).cast("string")))
+    kinds = StructType(cols.schema.fields[:-1]).add("score", "double").add("evidence", _EVIDENCE)
 
     def run(batches):
         m = shared.value
@@ -285,4 +288,4 @@ def score(docs: DataFrame, model: NeighbourModel, keep: list[str], text_col: str
             evidence = pa.array([e for _, e in out], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([s for s, _ in out], pa.float64()), evidence], [*b.schema.names[:-1], "score", "evidence"])
 
-    return cols.mapInArrow(lean(run), f"{kinds}, {_SCORED}")
+    return cols.mapInArrow(lean(run), kinds).toDF(*keep, score_col, evidence_col)

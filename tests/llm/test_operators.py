@@ -317,6 +317,18 @@ def test_decontaminate_over_several_blocks(spark, monkeypatch):
     assert len(got[0]) == 4 and not any("doc_id=1," in r or "b0" in r for r in got[0])
 
 
+@pytest.mark.parametrize("block", [200_000, 12])
+def test_decontaminate_keeps_any_column(spark, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+    q = " ".join(f"q{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"before {q} after it more and more words than are cut out of the text here", "mine", 2, None, "d", "e", 3)], "doc_id long, text string, _cut string, _row int, _text string, `a.b` string, `a``b` string, c1 int")
+    items = spark.createDataFrame([("a", q), ("b", q.replace("q", "r"))], "item_id string, text string").coalesce(1)
+    got = decontamination.decontaminate(docs, items)
+    assert got.dtypes == docs.dtypes
+    (row,) = got.collect()
+    assert tuple(row)[2:] == ("mine", 2, None, "d", "e", 3) and "q3" not in row["text"] and row["text"].startswith("before ")
+
+
 # ---- language ----------------------------------------------------------------------------------------------------
 
 
@@ -514,6 +526,10 @@ def test_toxicity(spark):
     assert min(s for s, y in held if y) > 0.8 and max(s for s, y in held if not y) < 0.2
     assert got[900]["score"] < 0.2 and got[901]["evidence"] == [] and got[902]["score"] > 0.8 and got[None]["score"] > 0.8
     assert all(e["toxic"] == 1 for e in got[300]["evidence"]) and 0 <= got[300]["score"] <= 1
+    odd = docs.where("doc_id = 0").selectExpr("doc_id", "text", "'x' as Score", "'y' as _text", "'z' as `a.b`", "1 as `a``b`")
+    (row,) = toxicity.score(odd, model, odd.columns).collect()
+    assert row.asDict().keys() == {"doc_id", "text", "_text", "a.b", "a`b", "score", "evidence"} and row["score"] == got[0]["score"] and row["a.b"] == "z"
+    assert toxicity.score(odd, model, odd.columns, score_col="s", evidence_col="e").columns == [*odd.columns, "s", "e"]
     none = toxicity.fit(docs, labels.limit(0))
     assert toxicity.score(docs, none, ["doc_id"]).agg(F.max("score")).first()[0] == 0
 
