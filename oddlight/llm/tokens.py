@@ -9,6 +9,7 @@ white space other than the six ASCII characters, or the string of an added token
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -255,7 +256,11 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
 
 
 def encoder(path: str, plain_specials: bool = False) -> UnitEncoder:
-    """One encoder per worker process, file and treatment of special tokens."""
+    """One encoder per worker process, file and treatment of special tokens.
+
+    A task runs one thread; threads of the library's own would cost each worker CPU time and memory.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (path, plain_specials) not in _models:
         _models[path, plain_specials] = UnitEncoder(path, plain_specials)
     return _models[path, plain_specials]
