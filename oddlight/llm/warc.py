@@ -123,20 +123,91 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_
     members.select(F.col("members").cast("string").alias("value")).write.option("lineSep", _GAP.decode("iso-8859-1")).option("encoding", "ISO-8859-1").text(path)
 
 
+def _fields(head: bytes) -> dict[str, str] | None:
+    """Header fields by name, in lower case; null where the version line is missing. Repeated fields are joined by a space."""
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        return None
+    fields: dict[str, str] = {}
+    for name, colon, value in (x.partition(":") for x in lines[1:]):
+        if colon:
+            name = name.strip().lower()
+            fields[name] = f"{fields[name]} {value.strip()}" if name in fields else value.strip()
+    return fields
+
+
+def _length(fields: dict[str, str] | None) -> int | None:
+    """The stated block length; null where type, id or length is missing or is no number."""
+    size = (fields or {}).get("content-length", "")
+    return int(size) if size.isdecimal() and fields.get("warc-type") and fields.get("warc-record-id") else None
+
+
+def _seek(view: memoryview, at: int, mark: bytes, limit: int | None = None) -> int:
+    """Position of the next mark from at on (within limit bytes), or -1."""
+    end = len(view) if limit is None else min(len(view), at + limit)
+    while at < end:
+        found = bytes(view[at : min(at + (1 << 16) + len(mark), end)]).find(mark)
+        if found >= 0:
+            return at + found
+        at += 1 << 16
+    return -1
+
+
+def _invalid(data: bytes) -> tuple[dict[str, str], bytes]:
+    return {"warc-type": "invalid"}, data
+
+
 def parse_members(raw: bytes):
-    """(fields, block) of every record in a file of gzip members, one in memory at a time."""
+    """(fields, block) of every record in a file, one in memory at a time; field names are in lower case.
+
+    Records are gzip members, or lie uncompressed. What can't be read as a record (no version line, type, id or length, a
+    block shorter than stated, a broken member) comes as a record of type ``invalid`` with its bytes; reading goes on
+    at the next member or version line.
+    """
     view, at = memoryview(raw), 0
     while at < len(view):
-        member, parts = zlib.decompressobj(31), []
-        while not member.eof and at < len(view):  # a window at a time: what follows a member is not copied again and again
-            window = view[at : at + WINDOW]
-            parts.append(member.decompress(window))
-            at += len(window) - len(member.unused_data)
-        if data := b"".join(parts):
-            head, _, rest = data.partition(b"\r\n\r\n")
-            lines = head.decode().split("\r\n")
-            fields = dict(x.split(": ", 1) for x in lines[1:])
-            yield fields, rest[: int(fields["Content-Length"])]
+        begin = at
+        if bytes(view[at : at + 2]) == b"\x1f\x8b":
+            member, parts = zlib.decompressobj(31), []
+            try:
+                while not member.eof and at < len(view):  # a window at a time: what follows a member is not copied again and again
+                    window = view[at : at + WINDOW]
+                    parts.append(member.decompress(window))
+                    at += len(window) - len(member.unused_data)
+                data = b"".join(parts)
+            except zlib.error:
+                data = None
+            if data is None or not member.eof:
+                at = _seek(view, begin + 2, b"\x1f\x8b\x08")
+                at = len(view) if at < 0 else at
+                yield _invalid(bytes(view[begin:at]))
+            elif data:
+                head, _, rest = data.partition(b"\r\n\r\n")
+                fields = _fields(head)
+                size = _length(fields)
+                yield _invalid(data) if size is None or size > len(rest) else (fields, rest[:size])
+            continue
+        if bytes(view[at : at + 1]) in (b"\r", b"\n"):  # between uncompressed records
+            at += 1
+            continue
+        head = _seek(view, at, b"\r\n\r\n", 1 << 20)
+        fields = _fields(bytes(view[at:head])) if head >= 0 else None
+        size = _length(fields)
+        if size is None or head + 4 + size > len(view):
+            at = _seek(view, begin + 1, b"\r\nWARC/1.")
+            at = len(view) if at < 0 else at + 2
+            yield _invalid(bytes(view[begin:at]))
+        else:
+            at = head + 4 + size
+            yield fields, bytes(view[head + 4 : at])
+
+
+def _stated_bytes(block: bytes) -> int | None:
+    """payload_bytes of a metadata record's block; null where it is not stated as a number."""
+    for name, _, value in (x.partition(":") for x in block.decode("utf-8", "replace").splitlines()):
+        if name.strip() == "payload_bytes" and value.strip().isdecimal():
+            return int(value)
+    return None
 
 
 _RECORD = "type string, record_id string, anchor string, target_uri string, refers_to string, payload_digest string, block binary, payload_bytes long"
@@ -149,13 +220,16 @@ def _parsed(with_block: bool):
                 rows: list[tuple] = []
                 held = 0
                 for f, block in parse_members(raw.as_buffer()):
-                    kind, digest, size = f["WARC-Type"], (f.get("WARC-Payload-Digest") or ":").split(":", 1)[1], None
+                    kind, own, size = f["warc-type"], f.get("warc-record-id"), None
+                    digest = f.get("warc-payload-digest", "").partition(":")[2]
                     if kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
                         digest, size = payload_digest(payload), len(payload)
                     elif kind == "metadata":
-                        size = int(dict(x.split(": ", 1) for x in block.decode().splitlines()).get("payload_bytes", 0))
-                    rows.append((kind, f["WARC-Record-ID"], f.get("WARC-Concurrent-To", f["WARC-Record-ID"]), f.get("WARC-Target-URI"), f.get("WARC-Refers-To"), digest or None, block if with_block or kind != "response" else None, size))
+                        size = _stated_bytes(block)
+                    named = [] if kind in ("response", "revisit") else f.get("warc-concurrent-to", "").split()
+                    for anchor in named or [own]:
+                        rows.append((kind, own, anchor, f.get("warc-target-uri"), f.get("warc-refers-to"), digest or None, block if with_block or kind != "response" else None, size))
                     held += len(block)
                     if len(rows) >= 4096 or held > 8 << 20:
                         yield _batch(rows)
@@ -175,7 +249,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_warc(spark: SparkSession, path: str, with_block: bool = True) -> DataFrame:
     """The records of all archives under path; anchor is the concurrent-to identifier, or a record's own.
 
-    A response's digest and size are recomputed from the bytes that were read.
+    A response's digest and size are recomputed from the bytes that were read. A record that names several others as
+    concurrent gives a row for each. Bytes that are no record give a row of type ``invalid`` without ids.
     """
     tune(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
@@ -186,8 +261,9 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, and the structs capture, request and metadata (null where absent).
 
     Records join by their anchor. A capture is a response or revisit; requests and metadata that name no capture in the
-    input have a null capture struct.
+    input have a null capture struct. Invalid records take no part.
     """
+    records = records.where("type <> 'invalid'")
     body = F.struct("type", "record_id", "target_uri", "refers_to", "payload_digest", "block", "payload_bytes")
 
     def one(*kinds: str):

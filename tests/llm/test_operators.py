@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables with nulls, ties, repeats, long and empty texts."""
 
 import base64
+import gzip
 import hashlib
 import json
 import random
@@ -248,6 +249,30 @@ def test_sharding(spark, corpus, monkeypatch):
     assert sharding.shard_documents(frame(spark, [])).count() == 0
 
 
+def brute_differencing(sizes, k):
+    """Sums of the shards: lists of (sum, members), the two of largest spread joined until one is left; first in, first out."""
+    parts = [(n, [(0, []) for _ in range(k - 1)] + [(s, [n])]) for n, s in enumerate(sizes)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[1][0][0] - p[1][-1][0], p[0]))
+        (_, a), (_, b) = parts.pop(0), parts.pop(0)
+        joined = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)), key=lambda x: x[0])
+        parts.append((made, joined))
+        made += 1
+    return sorted(x[0] for x in parts[0][1])
+
+
+def test_differencing_equals_brute_force():
+    rng = random.Random(11)
+    for k, n in ((2, 1), (2, 9), (3, 20), (8, 60)):
+        sizes = [rng.randint(1, 10**6) for _ in range(n)]
+        to = [s[0] for s in sharding.difference([[x] + [0] * (k - 1) for x in sizes])]
+        sums = [0] * k
+        for x, shard in zip(sizes, to, strict=True):
+            sums[shard] += x
+        assert sorted(sums) == brute_differencing(sizes, k)
+
+
 def test_differencing_beats_dealing():
     rng = np.random.default_rng(0)
     sizes = rng.lognormal(6, 1, 2000).astype(int).tolist()
@@ -388,6 +413,42 @@ def test_language_columns_may_clash(spark):
     assert got.columns == [*docs.columns, "p", "s"] and got.count() == 3
 
 
+def brute_grams(text):
+    t = "".join(c.lower() if c.isascii() and c.isalpha() or "\u00c0" <= c <= "\u00de" and c != "\u00d7" else c if ord(c) > 127 else " " for c in text)
+    raw = b" " + " ".join(t.split(" ")).encode() + b" "
+    raw = re.sub(b" +", b" ", raw)
+    counts = Counter(raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1))
+    del counts[b" "]
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0]))], counts
+
+
+def test_language_id_equals_brute_force(spark):
+    rng = random.Random(5)
+    words = {"aa": ["\u00c9t\u00e9", "chat", "Noir", "la", "le"], "bb": ["summer", "Cat", "the", "a1b", "of"], "cc": ["\u043b\u0435\u0442\u043e", "\u043a\u043e\u0442", "\u0438"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(1, 60))), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    odd = [(100, None, "aa"), (101, "", "bb"), (102, "1 2", None), (103, "Chat of", None), (104, "\u00d7 x", "aa")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    size, own = language_id.PROFILE, language_id.DOCUMENT
+    total = defaultdict(Counter)
+    for _, text, lang in rows + odd:
+        if lang and text is not None:
+            total[lang] += brute_grams(text)[1]
+    profiles = {lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], len(x[0]), x[0]))][:size] for lang, c in total.items()}
+    want = {}
+    for i, text, _ in rows + odd:
+        if not text or not any(c.isalpha() for c in text):
+            want[i] = ("und", 0.0)
+            continue
+        mine = brute_grams(text)[0][:own]
+        spread = size / max(len(mine), own)
+        far = {lang: sum(abs(p.index(g) - r * spread) if g in p else size for r, g in enumerate(mine)) / (size * len(mine)) for lang, p in profiles.items()}
+        lang = min(sorted(far), key=far.__getitem__)
+        want[i] = (lang, 1 - far[lang])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, language_id.fit_profiles(docs), ["doc_id"]).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
+
+
 def test_out_of_place_distance_by_hand():
     p = language_id.Profiles({"x": [10, 20, 30]}, 3)
     own = np.array([10, 40], np.uint32)
@@ -451,6 +512,36 @@ def test_warc_repeated_page_ids(spark):
 # ---- language model ----------------------------------------------------------------------------------------------
 
 
+def raw_record(kind, name, block, *more, length=True):
+    lines = ["WARC/1.0", f"warc-type:{kind}", f"WARC-Record-ID: <{name}>", *([f"Content-Length: {len(block)}"] if length else []), *more]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_reader_keeps_bad_records_apart(spark, tmp_path):
+    response = raw_record("response", "r", b"HTTP/1.1 200 OK\r\n\r\nbody")
+    request = raw_record("request", "q", b"GET /", "WARC-Concurrent-To: <r>", "WARC-Concurrent-To: <other>")
+    metadata = raw_record("metadata", "m", b"no colon here\r\npayload_bytes: many\r\n", "WARC-Concurrent-To: <r>", "line without a mark")
+    bad = [raw_record("response", "b1", b"x", length=False), b"no record", raw_record("response", "b2", b"abc")[:-6].replace(b"Length: 3", b"Length: 99")]
+    zipped = b"".join(map(gzip.compress, [response, *bad, request])) + gzip.compress(metadata)
+    broken = bytearray(gzip.compress(response))
+    broken[len(broken) // 2] ^= 255
+    files = [zipped, response + request + metadata, bytes(broken) + gzip.compress(request), response + bad[0] + metadata, gzip.compress(metadata)[:-20], b""]
+    kinds = []
+    for n, raw in enumerate(files):
+        (tmp_path / f"{n}").mkdir()
+        (tmp_path / f"{n}" / "a.warc").write_bytes(raw)
+        kinds.append(sorted(r["type"] for r in warc.read_warc(spark, str(tmp_path / f"{n}")).collect()))
+    assert kinds[0] == ["invalid"] * 3 + ["metadata", "request", "request", "response"]
+    assert kinds[1] == ["metadata", "request", "request", "response"]
+    assert kinds[2] == ["invalid", "request", "request"]
+    assert kinds[3] == ["invalid", "metadata", "response"]
+    assert kinds[4:] == [["invalid"], []]
+    got = {r["capture_id"]: r for r in warc.assemble(warc.read_warc(spark, str(tmp_path / "0"))).collect()}
+    assert set(got) == {"<r>", "<other>"} and got["<other>"]["capture"] is None
+    assert got["<r>"]["capture"]["payload_bytes"] == 4 and got["<r>"]["request"]["record_id"] == "<q>"
+    assert got["<r>"]["metadata"]["payload_bytes"] is None
+
+
 def test_base_scores(spark, corpus, monkeypatch):
     monkeypatch.setattr(lm_scoring, "FREQUENT", 50)  # most words take the joined way
     held = F.col("doc_id") % 7 == 2
