@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_table, lean, stage_table, tune
+from .shared import drop_table, lean, lean_group, stage_table, tune
 from .textbytes import fmix, hashed_words
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
@@ -38,6 +38,9 @@ ROUNDS = ((0, 2), (2, 10))
 #: A sketch estimate this far below the threshold (4.5 standard deviations) still goes to the exact check.
 SLACK = 0.16
 BLOOM_MAX_BITS = 1 << 28
+BLOOM_TASKS = 16
+#: Pairs of a cell held at a time.
+PAIRS = 1 << 18
 
 _rng = np.random.default_rng(8131)
 _MUL = (_rng.integers(1, 2**32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -135,16 +138,24 @@ def _bloom(needed: DataFrame):
         bits *= 2
 
     def fill(batches):
-        on = np.zeros(bits, bool)
+        on = np.zeros(bits // 8, np.uint8)
         for b in batches:
             if b.num_rows:
-                on[_bloom_cells(b.column(0).to_pylist(), bits).ravel()] = True
-        yield pa.record_batch([pa.array([np.packbits(on).tobytes()], pa.binary())], ["bitmap"])
+                c = _bloom_cells(b.column(0).to_pylist(), bits).ravel()
+                np.bitwise_or.at(on, c >> 3, (128 >> (c & 7)).astype(np.uint8))
+        yield pa.record_batch([pa.array([on.tobytes()], pa.binary())], ["bitmap"])
 
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for r in needed.select("digest").coalesce(8).mapInArrow(lean(fill), "bitmap binary").toLocalIterator():
-        bitmap |= np.frombuffer(r["bitmap"], np.uint8)
-    return needed.sparkSession.sparkContext.broadcast((bits, bitmap.tobytes()))
+    def union(batches):
+        on = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            for raw in b.column(0):
+                on |= np.frombuffer(raw.as_buffer(), np.uint8)
+        yield pa.record_batch([pa.array([on.tobytes()], pa.binary())], ["bitmap"])
+
+    # a bitmap for each task, filled in parallel; one task joins them and the driver gets one
+    parts = needed.select("digest").coalesce(BLOOM_TASKS).mapInArrow(lean(fill), "bitmap binary")
+    row = parts.repartition(1).mapInArrow(lean(union), "bitmap binary").first()
+    return needed.sparkSession.sparkContext.broadcast((bits, bytes(row["bitmap"])))
 
 
 def _needed_sets(k: int, shared):
@@ -184,22 +195,29 @@ def _intersections(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return total[pairs[:, 0], pairs[:, 1]].astype(np.int64)
 
 
-def likely_pairs(comps: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of members of different components whose sketches are close enough."""
-    n = len(comps)
-    diff = np.zeros((n, n), np.uint16)
-    for w in range(sketches.shape[1]):
-        diff += np.bitwise_count(sketches[:, None, w] ^ sketches[None, :, w])
+def likely_chunks(comps: np.ndarray, sketches: np.ndarray, percent: int):
+    """Pairs of members of different components whose sketches are close enough, at most about PAIRS at a time."""
     close = sketch_similarity(np.arange(SKETCH_BITS + 1)) >= percent / 100 - SLACK
-    return np.argwhere(np.triu(close[diff], 1) & (comps[:, None] != comps[None, :]))
+    n = len(comps)
+    step = max(1, PAIRS // max(n, 1))
+    for at in range(0, n, step):
+        mine = slice(at, min(at + step, n))
+        diff = np.zeros((mine.stop - at, n - at), np.uint16)  # the members before have met all the others
+        for w in range(sketches.shape[1]):
+            diff += np.bitwise_count(sketches[mine, None, w] ^ sketches[None, at:, w])
+        pairs = np.argwhere(np.triu(close[diff], 1) & (comps[mine, None] != comps[None, at:])) + at
+        if len(pairs):
+            yield pairs
 
 
 def link_cell(nodes: np.ndarray, comps: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Spanning forest, over components, of the confirmed links between members of different components."""
-    pairs = likely_pairs(comps, sketches, percent)
     size = np.array([len(s) for s in sets])
-    x, y = size[pairs[:, 0]], size[pairs[:, 1]]
-    pairs = pairs[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]  # sizes alone rule out the rest
+    found = []
+    for pairs in likely_chunks(comps, sketches, percent):
+        x, y = size[pairs[:, 0]], size[pairs[:, 1]]
+        found.append(pairs[100 * np.minimum(x, y) >= percent * np.maximum(x, y)])  # sizes alone rule out the rest
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
     if not len(pairs):
         return []
     if len(pairs) <= 64:
@@ -241,7 +259,10 @@ def _screen(percent: int):
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         comps = t["comp"].to_numpy()
-        return _edges(_forest(comps, likely_pairs(comps, _sketches(t), percent)))
+        edges: list[tuple[int, int]] = []
+        for pairs in likely_chunks(comps, _sketches(t), percent):
+            edges += _forest(comps, pairs)  # fewer links than members for each chunk of pairs
+        return _edges(list(set(edges)))
 
     return run
 
@@ -329,16 +350,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     roots = None  # (node, root) so far
     for lo, hi in ROUNDS:
         members = stage_table(_with_roots(banded.where(F.col("no").between(lo, hi - 1)).select("band", "node").distinct(), roots), "members")
-        forest = _cells(members, False, BLOCK).join(sets, "node").groupBy("band", "i", "j").applyInArrow(_link(percent), "a long, b long")
+        forest = _cells(members, False, BLOCK).join(sets, "node").groupBy("band", "i", "j").applyInArrow(lean_group(_link(percent), 1 << 18), "a long, b long")
         roots = _joined(forest, roots)
         drop_table(members)
     # the last round: components that likely pairs of any band join are one family, and within a family no pair is left out
     members = stage_table(_with_roots(banded.select("band", "node").distinct(), roots), "members")
-    likely = _cells(members, True, SCREEN_BLOCK).join(sets.select("node", "sketch"), "node").groupBy("band", "i", "j").applyInArrow(_screen(percent), "a long, b long")
+    likely = _cells(members, True, SCREEN_BLOCK).join(sets.select("node", "sketch"), "node").groupBy("band", "i", "j").applyInArrow(lean_group(_screen(percent), 1 << 15), "a long, b long")
     families = components(stage_table(likely, "likely"))
     heads = families.select(F.col("node").alias("comp"), F.col("root").alias("band")).unionByName(families.select(F.col("root").alias("comp"), F.col("root").alias("band")).distinct())
     kin = stage_table(_with_roots(sets.select("node"), roots).join(heads, "comp").select("band", "node", "comp"), "kin")
-    forest = _cells(kin, True, BLOCK).join(sets, "node").groupBy("band", "i", "j").applyInArrow(_link(percent), "a long, b long")
+    forest = _cells(kin, True, BLOCK).join(sets, "node").groupBy("band", "i", "j").applyInArrow(lean_group(_link(percent), 1 << 18), "a long, b long")
     roots = _joined(forest, roots)
     drop_table(members)
     drop_table(kin)

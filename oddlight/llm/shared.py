@@ -50,14 +50,33 @@ def lean(kernel):
 
     def run(batches):
         yield from kernel(_small(batches))
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim:
-            trim(0)
+        hand_back()
 
     return run
 
 
+def lean_group(kernel, least: int = 1 << 20):
+    """An applyInArrow kernel that hands freed memory back after every group of at least that many bytes."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        size = t.nbytes
+        out = kernel(key, t)
+        if size >= least:
+            del t
+            hand_back()
+        return out
+
+    return run
+
+
+def hand_back() -> None:
+    """Gives memory that the allocators hold unused back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def quoted(name: str) -> Column:
     """The column of exactly that name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
