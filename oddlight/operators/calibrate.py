@@ -12,6 +12,8 @@ from ..errors import InvalidArgument, NotInitialized
 from ..functions.vectors import float32
 
 FPR, MAX_PIXELS, SEED = 0.01, 1_000_000, 42
+#: Rows that a top-k may gather in one task.
+TOP = 65_536
 
 
 def widened(low: float, high: float) -> tuple[float, float]:
@@ -63,11 +65,26 @@ def ordered_value(df: DataFrame, value: Column, index: int) -> float:
     return row["chosen"]
 
 
+def least_hashed(df: DataFrame, keys: list[str], k: int, seed: int) -> DataFrame:
+    """The k rows of least seeded hash of their keys (ties by key): the same on any partitioning.
+
+    Up to TOP rows are taken by one top-k. Beyond, the k-th hash is found by rank selection and a filter takes the rows
+    below it, so no task ever holds k rows; only rows that share the first 53 bits of that hash are ordered.
+    """
+    h = F.xxhash64(*keys, F.lit(seed))
+    if k <= TOP:
+        return df.orderBy(h, *keys).limit(k)
+    head = F.shiftright(h, 11).cast("double")  # exact, and in the order of the hashes
+    cut = select_ranks(df.select(head.alias("v")), [], "v", lambda n: F.least(F.lit(k), n) - 1).first()
+    if cut is None:
+        return df
+    below = df.where(head < cut["chosen"])
+    return below.unionByName(df.where(head == cut["chosen"]).orderBy(h, *keys).limit(k - below.count()))
+
+
 def sampled_pixels(pixels: DataFrame, keys: list[str], cap: int = MAX_PIXELS, seed: int = SEED) -> DataFrame:
     """All pixels up to the cap; beyond, the cap rows of least seeded hash (deterministic, any partitioning)."""
-    if pixels.count() <= cap:
-        return pixels
-    return pixels.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(cap)
+    return pixels if pixels.count() <= cap else least_hashed(pixels, keys, cap, seed)
 
 
 def _rank(fpr: float) -> Callable[[Column], Column]:

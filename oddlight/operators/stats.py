@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,22 +146,42 @@ class Moments:
 
 
 def pooled_moments(patches: DataFrame, dimension: int, chunk: int = 256) -> Moments:
-    """Moments over all patches: chunks in the kernel, one partial result for each task, merged on the driver."""
+    """Moments over all patches: chunks in the kernel, one partial result for each task, merged in two levels.
 
-    def run(batches):
+    All tasks run at once; about the square root of their number of partial results meets in a merging task, one at a
+    time, and the driver gets one row. Merging follows task numbers, so that a result does not depend on timing.
+    """
+    kind = "task int, n long, mean array<double>, m2 array<double>"
+
+    def row(total: Moments) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.n]), pa.array([total.mean], pa.list_(pa.float64())), pa.array([total.m2.ravel()], pa.list_(pa.float64()))], ["task", "n", "mean", "m2"])
+
+    def partial(batches):
         total = Moments(0, np.zeros(dimension), np.zeros((dimension, dimension)))
         for b in batches:
             x = matrix(b.column(0))
             for at in range(0, len(x), chunk):
                 total = total.merge(Moments.of(x[at : at + chunk]))
         if total.n:
-            yield pa.record_batch([pa.array([total.n]), pa.array([total.mean], pa.list_(pa.float64())), pa.array([total.m2.ravel()], pa.list_(pa.float64()))], ["n", "mean", "m2"])
+            yield row(total)
 
-    rows = patches.select(F.col("feat").cast("array<double>").alias("feat")).mapInArrow(run, "n long, mean array<double>, m2 array<double>")
-    out = Moments(0, np.zeros(dimension), np.zeros((dimension, dimension)))
-    for r in rows.toLocalIterator():  # one row for each task, D * D numbers each
-        out = out.merge(Moments(r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(dimension, dimension)))
-    return out
+    def merged(batches):
+        total = Moments(0, np.zeros(dimension), np.zeros((dimension, dimension)))
+        for b in batches:
+            means, squares = matrix(b.column(2)), matrix(b.column(3))
+            for n, mean, m2 in zip(b.column(1).to_pylist(), means, squares, strict=True):
+                total = total.merge(Moments(n, mean, m2.reshape(dimension, dimension)))
+        if total.n:
+            yield row(total)
+
+    spark = patches.sparkSession
+    fan = max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = patches.select(F.col("feat").cast("array<double>").alias("feat")).mapInArrow(partial, kind)
+    rows = rows.repartition(fan, "task").sortWithinPartitions("task").mapInArrow(merged, kind)
+    r = rows.repartition(1).sortWithinPartitions("task").mapInArrow(merged, kind).first()
+    if r is None:
+        return Moments(0, np.zeros(dimension), np.zeros((dimension, dimension)))
+    return Moments(r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(dimension, dimension))
 
 
 @dataclass

@@ -7,12 +7,16 @@ version wins, so a batch that is retried after a lost executor or driver gives t
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..errors import InvalidArgument
+
 
 def batch_state(df: DataFrame, key: str, value: str) -> DataFrame:
     v = F.col(value).cast("double")
@@ -32,19 +36,32 @@ def merge_states(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def _folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidArgument("set spark.checkpoint.dir to a folder that driver and executors share, or name one")
         root = "file://" + tempfile.mkdtemp(prefix="oddlight-stream-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def last_version(spark: SparkSession, folder: str) -> int:
+    """The highest version in the folder that was written completely, or -1."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [-1]
+    if fs.exists(path(folder)):
+        for entry in fs.listStatus(path(folder)):
+            name = entry.getPath().getName()
+            if re.fullmatch(r"v\d+", name) and fs.exists(path(entry.getPath(), "_SUCCESS")):
+                done.append(int(name[1:]))
+    return max(done)
+
+
 class IncrementalFit:
     """foreachBatch sink that keeps the state of a stream: versions of a small table, one row for each key."""
 
     def __init__(self, spark: SparkSession, key: str, value: str, folder: str | None = None) -> None:
         self.spark, self.key, self.value = spark, key, value
         self.folder = folder or _folder(spark)
-        self.version = -1
+        self.version = last_version(spark, self.folder) if folder else -1
 
     def add_batch(self, df: DataFrame, batch_id: int) -> None:
         if batch_id <= self.version:
@@ -59,9 +76,12 @@ class IncrementalFit:
         return self.spark.read.parquet(f"{self.folder}/v{self.version}")
 
 
-def fit_stream(spark: SparkSession, schema: StructType, path: str, key: str, value: str) -> DataFrame:
-    """Runs the stream over all files available now and returns (key, n, low, high, mean, variance)."""
-    fit = IncrementalFit(spark, key, value)
+def fit_stream(spark: SparkSession, schema: StructType, path: str, key: str, value: str, state_folder: str | None = None) -> DataFrame:
+    """Runs the stream over all files available now and returns (key, n, low, high, mean, variance).
+
+    State and progress lie in one folder: with the state_folder of an earlier run only files that it has not read count anew.
+    """
+    fit = IncrementalFit(spark, key, value, state_folder)
     folder, name = os.path.split(path.rstrip("/"))
     # a stream source reads folders; a glob picks the one table out of its folder
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*" if not name.endswith("*") else path)
