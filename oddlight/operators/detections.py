@@ -15,6 +15,8 @@ from ..errors import InvalidArgument
 from ..functions import planes
 from .maps import MAP
 
+#: Maps that a worker holds at a time.
+PLANE_BYTES = 4 << 20
 CANDIDATE = "image_id long, anchor long, class_id int, score double, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -87,24 +89,61 @@ def _kept(t: pa.Table, threshold: float) -> pa.Table:
     return t.filter(pa.array(keep))
 
 
-def paint(kept: DataFrame, images: DataFrame, h: int, w: int) -> DataFrame:
-    """Maps of the kept boxes for all images; an overlapped pixel has the lowest score, an uncovered one 0.
+def _planes(boxes: pa.Array, h: int, w: int):
+    """(first row, highest scores, maps as rows) for a few pictures at a time, whose lists of boxes are given."""
+    if isinstance(boxes, pa.ChunkedArray):
+        boxes = boxes.combine_chunks()
+    step = max(1, PLANE_BYTES // (8 * h * w))
+    for at in range(0, len(boxes), step):
+        part = boxes.slice(at, step)
+        size = part.value_lengths().fill_null(0).to_numpy()
+        flat = part.flatten()
+        score, *corners = (np.asarray(flat.field(c), float) for c in ("score", "x1", "y1", "x2", "y2"))
+        corners, ends = np.stack(corners, axis=1), np.cumsum(size)
+        best, out = np.zeros(len(size)), np.zeros((len(size), h * w))
+        for i in np.flatnonzero(size).tolist():
+            mine = slice(ends[i] - size[i], ends[i])
+            best[i] = score[mine].max()
+            out[i] = planes.paint(corners[mine], score[mine], h, w).ravel()
+        yield at, best, out
+
+
+def _boxes(kept: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, boxes): the kept boxes of every row of images, null without any. The join is on image_id alone."""
+    boxes = kept.groupBy("image_id").agg(F.collect_list(F.struct("score", "x1", "y1", "x2", "y2")).alias("boxes"))
+    return images.select("image_id").join(boxes, "image_id", "left")
+
 
-    Boxes become runs of pixels for each image by whole coordinates, so the join is on image_id alone.
+def painted(kept: DataFrame, images: DataFrame, h: int, w: int) -> DataFrame:
+    """Score (the highest kept one, 0 without a box) and map for every row of images, made together.
+
+    An overlapped pixel has the lowest score, an uncovered one 0. At most PLANE_BYTES of maps are held at a time.
     """
-    boxes = kept.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("score", "anchor", "x1", "y1", "x2", "y2")), asc=False).alias("boxes"))
 
     def run(batches):
         for b in batches:
-            out = []
-            for boxes_ in b.column(1).to_pylist():
-                boxes_ = boxes_ or []
-                corners = np.array([[x["x1"], x["y1"], x["x2"], x["y2"]] for x in boxes_], float).reshape(-1, 4)
-                out.append(planes.paint(corners, np.array([x["score"] for x in boxes_], float), h, w).ravel())
-            n = len(out)
-            yield pa.record_batch([b.column(0), pa.array([h] * n, pa.int32()), pa.array([w] * n, pa.int32()), pa.array(out, pa.list_(pa.float64()))], ["image_id", "h", "w", "values"])
-
-    return images.select("image_id").join(boxes, "image_id", "left").mapInArrow(run, MAP)
+            for at, best, out in _planes(b.column(1), h, w):
+                n = len(best)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (h * w)), pa.array(out.ravel()))
+                yield pa.record_batch([b.column(0).slice(at, n), pa.array(best), pa.array([h] * n, pa.int32()), pa.array([w] * n, pa.int32()), values], ["image_id", "score", "h", "w", "values"])
+
+    return _boxes(kept, images).mapInArrow(run, f"image_id long, score double, {MAP.removeprefix('image_id long, ')}")
+
+
+def paint(kept: DataFrame, images: DataFrame, h: int, w: int) -> DataFrame:
+    """The maps of ``painted``."""
+    return painted(kept, images, h, w).select("image_id", "h", "w", "values")
+
+
+def paint_totals(kept: DataFrame, images: DataFrame, h: int, w: int) -> DataFrame:
+    """(image_id, score, painted, total): pixels above 0 and sum of each map of ``painted``; maps stay in the workers."""
+
+    def run(batches):
+        for b in batches:
+            for at, best, out in _planes(b.column(1), h, w):
+                yield pa.record_batch([b.column(0).slice(at, len(best)), pa.array(best), pa.array((out > 0).sum(axis=1)), pa.array(out.sum(axis=1))], ["image_id", "score", "painted", "total"])
+
+    return _boxes(kept, images).mapInArrow(run, "image_id long, score double, painted long, total double")
 
 
 def image_scores(kept: DataFrame, images: DataFrame) -> DataFrame:

@@ -466,8 +466,8 @@ def yolo_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     LEFT JOIN (SELECT image_id, max(score) AS score FROM kept GROUP BY 1) k USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS n, sum(v) AS s FROM px GROUP BY 1) p USING (image_id)""")
 def yolo_paint(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id")).distinct()
-    raw = Yolo(64, 64, 2, 0.25, 0.05).score(t.detections(spark, sf_dir), images)
-    return raw.select("image_id", "score", F.size(F.filter("values", lambda v: v > 0)).cast("long").alias("painted"), r6(vectors.total(F.col("values"))).alias("total"))
+    raw = Yolo(64, 64, 2, 0.25, 0.05).totals(t.detections(spark, sf_dir), images)
+    return raw.select("image_id", "score", "painted", r6("total").alias("total"))
 
 
 # ---- postprocessing --------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -182,6 +183,25 @@ def test_yolo_suppression_and_overlap(spark):
         Yolo(64, 64, 1).validate(detection_rows(spark, [(1, 1, 1, 1, [0.5, 0.5])]))
 
 
+def test_painting_holds_few_maps_and_one_row_for_each_picture(spark):
+    rng = np.random.default_rng(4)
+    boxes = [[{"score": float(s), "x1": x, "y1": y, "x2": x + 9.5, "y2": y + 7.0} for s, (x, y) in zip(rng.random(k), rng.uniform(-5, 64, (k, 2)), strict=True)] or None for k in rng.integers(0, 4, 1000)]
+    at = 0
+    for start, best, out in detections._planes(pa.array(boxes), 64, 64):
+        assert start == at and out.nbytes <= detections.PLANE_BYTES
+        at += len(out)
+        for b, s, m in zip(boxes[start:at], best, out, strict=True):
+            b = b or []
+            want = planes.paint(np.array([[x[c] for c in ("x1", "y1", "x2", "y2")] for x in b]).reshape(-1, 4), np.array([x["score"] for x in b]), 64, 64)
+            assert s == max((x["score"] for x in b), default=0) and (m == want.ravel()).all()
+    assert at == 1000
+    model, found = Yolo(64, 64), detection_rows(spark, [(10, 10, 4, 4, [0.9])])
+    twice = images(spark).union(images(spark))
+    maps_, sums = model.score(found, twice).collect(), model.totals(found, twice).collect()
+    assert sorted((r["image_id"], r["score"], sum(v > 0 for v in r["values"]), round(sum(r["values"]), 9)) for r in maps_) == sorted((*r[:3], round(r["total"], 9)) for r in sums)
+    assert len(maps_) == 4 and sum(r["painted"] for r in sums) == 32
+
+
 def test_suppression_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     boxes = [(10, 10, 10, 10, [0.9 - 0.01 * i]) for i in range(7)]
