@@ -35,6 +35,8 @@ MAX_EXAMPLES, NEIGHBOURS, HELD = 8192, 25, 1 << 18
 #: in so many rows.
 MIN_Z, MIN_LIFT, MIN_DF = 3.0, 1.0, 3
 BLOCK = 64
+#: Ids of labelled rows that are broadcast (64 MB).
+MAX_IDS = 1 << 23
 
 
 def terms_of(text: str | None) -> Counter:
@@ -68,6 +70,32 @@ def _term_rows(batches):
     yield from _term_batches(clean, toxic)
 
 
+def _labelled_rows(shared):
+    """The rows (id, label, text) of a scan of (id, text) whose id is in the label's ascending ids; a row may have both."""
+
+    def run(batches):
+        for b in batches:
+            at = np.asarray(b.column(0), np.int64)
+            for y, ids in enumerate(shared.value):
+                hit = np.flatnonzero(ids[np.minimum(np.searchsorted(ids, at), len(ids) - 1)] == at) if len(ids) else ()
+                if len(hit):
+                    hit = pa.array(hit)
+                    yield pa.record_batch([b.column(0).take(hit), pa.array([y] * len(hit), pa.int32()), b.column(1).take(hit)], ["id", "label", "text"])
+
+    return run
+
+
+def _with_labels(texts: DataFrame, single: DataFrame, rows: int) -> DataFrame:
+    """texts (id, text) joined with single (id, label) by id. Up to MAX_IDS rows of single go to the texts as two sorted
+    arrays, 8 bytes a row, so that no text is shuffled; beyond, Spark joins them."""
+    if rows > MAX_IDS:
+        return texts.join(single, "id").select("id", "label", "text")
+    t = single.toArrow()
+    ids, label = np.asarray(t["id"], np.int64), np.asarray(t["label"])
+    shared = texts.sparkSession.sparkContext.broadcast([np.sort(ids[label == y]) for y in (0, 1)])
+    return texts.where("id is not null").mapInArrow(lean(_labelled_rows(shared)), "id long, label int, text string")
+
+
 def _term_batches(clean: Counter, toxic: Counter):
     terms = list(clean.keys() | toxic.keys())
     for at in range(0, len(terms), 65_536):
@@ -236,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     single = stage_table(signed.groupBy("label", "sig").agg(F.min("id").alias("id")).select("id", "label"), "single-rows")
     n = {r["label"]: r["n"] for r in single.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = max(n.get(0, 0), 1), max(n.get(1, 0), 1)
-    counted = texts.join(single, "id").select("id", "label", "text").mapInArrow(lean(_term_rows), "term binary, n long, n1 long")
+    counted = _with_labels(texts, single, sum(n.values())).mapInArrow(lean(_term_rows), "term binary, n long, n1 long")
     # at most 2 * max_examples rows are broadcast
     sample = signed.join(F.broadcast(sample.distinct()), ["id", "label"]).groupBy("label", "sig").agg(F.min("id").alias("id"))
     sample = stage_table(sample.select("id", "label"), "single-examples")

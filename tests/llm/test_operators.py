@@ -636,6 +636,16 @@ def test_toxicity_rare_marks_whatever_the_sample(spark):
     assert min(r["score"] for r in got.values()) > 0.8
 
 
+def test_labels_reach_texts_without_a_shuffle(spark, monkeypatch):
+    texts = spark.createDataFrame([(i % 50, f"t{i}") for i in range(90)] + [(None, "x"), (99, None)], "id long, text string")
+    single = spark.createDataFrame([(i, i % 2) for i in range(0, 120, 3)] + [(9, 0), (99, 0)], "id long, label int")
+    got = toxicity._with_labels(texts, single, 42)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(toxicity, "MAX_IDS", 0)
+    want = toxicity._with_labels(texts, single, 42)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("id = 9").count() == 4
+
+
 def test_isotonic_is_monotone():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert (np.diff(y) >= 0).all() and y.tolist() == [0, 0.5, 1] and json.dumps(x.tolist())
