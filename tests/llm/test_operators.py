@@ -585,6 +585,27 @@ def test_mixing_learns_structure():
     assert np.exp(total[start]).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_mixer_learns_from_every_training_word(spark):
+    """Sums over tasks equal those of all words at once, and the words beyond any fixed number change the weights."""
+    counts = {b"w%dx%d" % (i, i * i % 997): 1 + i % 5 for i in range(6000)} | {b"the": 5000}
+    words = list(counts)
+    n = np.array([counts[w] for w in words])
+    got = lm_scoring.fit(spark.createDataFrame(list(counts.items()), "word binary, n long").repartition(5))
+    tables = np.zeros((2, lm_scoring.TABLE), np.float32)
+    lm_scoring.add_counts(tables, words, n)
+    want = lm_scoring.Mixer(tables)
+    first = want.weights.copy()
+    for curves in (True, False):
+        total = lm_scoring.Sums()
+        want.sums(words, n, total, curves)
+        want.step(total) if curves else want.set_map(total)
+    assert np.allclose(got.weights, want.weights, atol=1e-6) and np.allclose(got.refine, want.refine, atol=1e-6)
+    half, total = lm_scoring.Mixer(tables), lm_scoring.Sums()
+    half.sums(words[:3000], n[:3000], total)
+    half.step(total)
+    assert abs(half.weights - want.weights).max() > 1e-3 and abs(first - want.weights).max() > 1e-3
+
+
 # ---- toxicity ----------------------------------------------------------------------------------------------------
 
 
